@@ -1,11 +1,11 @@
 """Queries of this subpackage, by name."""
 
-from . import language_id
+from . import language_id, line_dedup
 
 
 def queries():
-    return {"op7_language_id": language_id.op7_language_id}
+    return {"op4_line_dedup": line_dedup.op4_line_dedup, "op7_language_id": language_id.op7_language_id}
 
 
 def oracle_sql():
-    return {}
+    return {"op4_line_dedup": line_dedup.OP4_SQL}
