@@ -1,10 +1,14 @@
 """Queries of this subpackage, by name."""
 
-from . import language_id, line_dedup
+from . import language_id, line_dedup, minhash_hamming
 
 
 def queries():
-    return {"op4_line_dedup": line_dedup.op4_line_dedup, "op7_language_id": language_id.op7_language_id}
+    return {
+        "op2_minhash_dedup": minhash_hamming.op2_minhash_dedup,
+        "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op7_language_id": language_id.op7_language_id,
+    }
 
 
 def oracle_sql():
