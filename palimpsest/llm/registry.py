@@ -1,10 +1,11 @@
 """Queries of this subpackage, by name."""
 
-from . import language_id, line_dedup, minhash_hamming
+from . import decontaminate, language_id, line_dedup, minhash_hamming
 
 
 def queries():
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_minhash_dedup": minhash_hamming.op2_minhash_dedup,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op7_language_id": language_id.op7_language_id,
