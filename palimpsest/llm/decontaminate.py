@@ -191,17 +191,20 @@ def matches(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "
 def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", **how) -> DataFrame:
     """The rows of docs whose text holds no passage of a test item; all columns stay, null texts stay."""
     spark = docs.sparkSession
-    for ids, texts in _blocks(items, item_id, item_text, how.pop("block_bytes", BLOCK_BYTES)):
-        sent = spark.sparkContext.broadcast(Passages(ids, pa.array(texts, pa.string()), **how))
 
+    def clean(sent):
         @F.arrow_udf("boolean")
-        def clean(column: pa.Array, sent=sent) -> pa.Array:
-            ok = np.ones(len(column), bool)
+        def ok(column: pa.Array) -> pa.Array:
+            keep = np.ones(len(column), bool)
             for lo, _, buf, offs in chunks(column):
-                ok[[lo + r for r, *_ in sent.value.match(*word_hashes(buf, offs))]] = False
-            return pa.array(ok)
+                keep[[lo + r for r, *_ in sent.value.match(*word_hashes(buf, offs))]] = False
+            return pa.array(keep)
+
+        return ok
 
-        docs = docs.where(F.col(text).isNull() | clean(F.col(text)))
+    for ids, texts in _blocks(items, item_id, item_text, how.pop("block_bytes", BLOCK_BYTES)):
+        sent = spark.sparkContext.broadcast(Passages(ids, pa.array(texts, pa.string()), **how))
+        docs = docs.where(F.col(text).isNull() | clean(sent)(F.col(text)))
     return docs
 
 

@@ -201,7 +201,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     return docs.withColumn("__lang", found).withColumns({"lang_pred": F.coalesce(F.col("__lang.lang_pred"), F.lit("und")), "score": F.coalesce(F.col("__lang.score"), F.lit(0.0))}).drop("__lang")
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, floor: float = 0.5, text: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, model: LanguageModel, floor: float = 0.4, text: str = "text") -> DataFrame:
     """The rows whose language is told with a score of floor at least, with their own columns only."""
     return identify(docs, model, text).where((F.col("lang_pred") != "und") & (F.col("score") >= floor)).select(*docs.columns)
 

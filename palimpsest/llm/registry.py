@@ -1,6 +1,6 @@
 """Queries of this subpackage, by name."""
 
-from . import decontaminate, language_id, line_dedup, minhash_hamming
+from . import decontaminate, language_id, line_dedup, minhash_hamming, sentencepieces
 
 
 def queries():
@@ -8,6 +8,7 @@ def queries():
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_minhash_dedup": minhash_hamming.op2_minhash_dedup,
         "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op6_sentencepiece": sentencepieces.op6_sentencepiece,
         "op7_language_id": language_id.op7_language_id,
     }
 
