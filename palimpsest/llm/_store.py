@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest table, in rows of at most 32 bytes, that is ever broadcast.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,20 +28,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def park_path(df: DataFrame, name: str) -> str:
+    """Write df to the shared folder; its path."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
+
+
 def park(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends here, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    path = park_path(df, name)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._parked_at = path
     return out
 
 
 def drop(df: DataFrame) -> None:
     """Delete a parked table that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._parked_at)
+    drop_path(df.sparkSession, df._parked_at)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

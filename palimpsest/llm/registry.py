@@ -1,6 +1,6 @@
 """Queries of this subpackage, by name."""
 
-from . import cosine_dedup, decontaminate, language_id, line_dedup, minhash_hamming, sentencepieces
+from . import cosine_dedup, decontaminate, interleave, language_id, line_dedup, minhash_hamming, sentencepieces
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op6_sentencepiece": sentencepieces.op6_sentencepiece,
         "op7_language_id": language_id.op7_language_id,
+        "op9_interleave": interleave.op9_interleave,
         "op10_cosine_dedup": cosine_dedup.op10_cosine_dedup,
     }
 
