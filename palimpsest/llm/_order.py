@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._store import park_path
 
@@ -16,14 +17,19 @@ def numbered(df: DataFrame, order: list[Column], name: str = "pos") -> tuple[Dat
     files before, of which only one count a file passes the driver.
     """
     path = park_path(df.repartitionByRange(*order).sortWithinPartitions(*order), "sorted")
-    spark = df.sparkSession
-    kept = spark.read.schema(df.schema).parquet(path)
+    return positions(df.sparkSession, path, df.schema, name), path
+
+
+def positions(spark: SparkSession, path: str, schema: StructType, name: str = "pos") -> DataFrame:
+    """A table that Spark wrote, with the position of each row in it: parts in turn, rows as they stand."""
+    kept = spark.read.schema(schema).parquet(path)
     part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
     rows = kept.select("*", part.alias("__part"), F.col("_metadata.row_index").alias("__row"))
-    before = [0]
-    start: dict[int, int] = {}
+    start, total = [], 0
     for k, n in sorted((r[0], r[1]) for r in rows.groupBy("__part").count().collect()):  # a row for each file
-        start[k] = before[0]
-        before[0] += n
-    offsets = F.broadcast(spark.createDataFrame(list(start.items()) or [(-1, 0)], "__part int, __start long"))
-    return rows.join(offsets, "__part").withColumn(name, F.col("__start") + F.col("__row")).drop("__part", "__row", "__start"), path
+        start.append((k, total))
+        total += n
+    offsets = F.broadcast(spark.createDataFrame(start or [(-1, 0)], "__part int, __start long"))
+    out = rows.join(offsets, "__part").withColumn(name, F.col("__start") + F.col("__row")).drop("__part", "__row", "__start")
+    out._rows = total
+    return out

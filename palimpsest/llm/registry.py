@@ -1,12 +1,13 @@
 """Queries of this subpackage, by name."""
 
-from . import cosine_dedup, decontaminate, interleave, language_id, line_dedup, minhash_hamming, sentencepieces
+from . import cosine_dedup, decontaminate, interleave, language_id, line_dedup, minhash_hamming, sentencepieces, token_shards
 
 
 def queries():
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_minhash_dedup": minhash_hamming.op2_minhash_dedup,
+        "op3_token_shards": token_shards.op3_token_shards,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op6_sentencepiece": sentencepieces.op6_sentencepiece,
         "op7_language_id": language_id.op7_language_id,
