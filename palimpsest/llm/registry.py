@@ -1,6 +1,6 @@
 """Queries of this subpackage, by name."""
 
-from . import cosine_dedup, decontaminate, interleave, language_id, line_dedup, minhash_hamming, sentencepieces, token_shards
+from . import cosine_dedup, decontaminate, interleave, language_id, line_dedup, minhash_hamming, preferences, sentencepieces, token_shards
 
 
 def queries():
@@ -11,10 +11,11 @@ def queries():
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op6_sentencepiece": sentencepieces.op6_sentencepiece,
         "op7_language_id": language_id.op7_language_id,
+        "op8_preferences": preferences.op8_preferences,
         "op9_interleave": interleave.op9_interleave,
         "op10_cosine_dedup": cosine_dedup.op10_cosine_dedup,
     }
 
 
 def oracle_sql():
-    return {"op4_line_dedup": line_dedup.OP4_SQL}
+    return {"op4_line_dedup": line_dedup.OP4_SQL, "op8_preferences": preferences.OP8_SQL}
