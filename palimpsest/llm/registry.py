@@ -1,6 +1,6 @@
 """Queries of this subpackage, by name."""
 
-from . import cosine_dedup, decontaminate, interleave, language_id, line_dedup, minhash_hamming, preferences, sentencepieces, token_shards
+from . import cosine_dedup, decontaminate, interleave, language_id, line_dedup, minhash_hamming, preferences, quality, sentencepieces, token_shards
 
 
 def queries():
@@ -9,6 +9,7 @@ def queries():
         "op2_minhash_dedup": minhash_hamming.op2_minhash_dedup,
         "op3_token_shards": token_shards.op3_token_shards,
         "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op5_quality": quality.op5_quality,
         "op6_sentencepiece": sentencepieces.op6_sentencepiece,
         "op7_language_id": language_id.op7_language_id,
         "op8_preferences": preferences.op8_preferences,
