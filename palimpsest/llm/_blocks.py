@@ -52,3 +52,15 @@ def in_blocks(entries: DataFrame, sizes: DataFrame, compare: Callable[[pa.Table,
             yield out
 
     return dealt.repartition("key", "u", "v").sortWithinPartitions("key", "u", "v").mapInArrow(run, schema)
+
+
+def spanning(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For links between rows i and j, the smallest id that each row reaches (its own if none)."""
+    root = ids.copy()
+    while True:
+        low = root.copy()
+        np.minimum.at(low, i, root[j])
+        np.minimum.at(low, j, root[i])
+        if (low == root).all():
+            return root
+        root = low

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._blocks import in_blocks
+from ._blocks import in_blocks, spanning
 from ._store import drop, park, small
 from ._text import mix, stream
 from .components import components
@@ -129,14 +129,7 @@ def near_duplicates(table: DataFrame, id: str = "vec_id", vector: str = "embeddi
         links = np.zeros(len(ids), np.int64)
         np.add.at(links, i, copies[j])
         np.add.at(links, j, copies[i])
-        root = ids.copy()
-        while True:
-            low = root.copy()
-            np.minimum.at(low, i, root[j])
-            np.minimum.at(low, j, root[i])
-            if (low == root).all():
-                break
-            root = low
+        root = spanning(ids, i, j)
         own = np.flatnonzero(links)
         return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(links[own]), pa.array(root[own])], ["id", "links", "root"])
 

@@ -1,25 +1,30 @@
 """Near-duplicate components by MinHash signatures and a multi-index Hamming join.
 
 A document's signature has K symbols of 16 bits.  The symbols are split into
-CHUNKS chunks; if two signatures differ in at most MAX_DIFF symbols, some chunk
-has at most ERRORS differing symbols (pigeonhole), so the two share the key of
-that chunk with those symbols left out.  Every signature is therefore filed under
-all its chunks with every choice of ERRORS symbols removed, which guarantees all
-pairs under the signature-distance threshold.  Pairs are then confirmed on the
+chunks; if two signatures differ in fewer symbols than ERRORS + 1 for each chunk,
+some chunk has at most ERRORS differing symbols (pigeonhole), so the two share the
+key of that chunk with those symbols left out.  Every signature is therefore filed
+under all its chunks with every choice of ERRORS symbols removed, which guarantees
+all pairs under the signature-distance threshold.  Pairs are then confirmed on the
 full shingle sets.
 
-At a resemblance of 0.85 a symbol differs with probability 0.15; of 64 symbols
-more than 23 differ with probability 2e-5, which is what a pair at the very
-threshold can be missed with; at 0.9 it is under 1e-8.
-
-Large groups of copies never become all their pairs: equal sets are one class
-from the start; in a first round every class is checked against its neighbours in
-the sorted index only, and in the second round only pairs of classes that are not
-yet connected are compared, in blocks.
+The number of chunks follows from the resemblance asked for: a symbol of two sets
+of resemblance r differs with probability 1 - r, and a pair right at r is over the
+threshold with a probability of MISSED at most (at 0.85: more than 23 of 64
+symbols, 2e-5; the same pair at 0.9: under 1e-8).
+
+Large groups of copies never become all their pairs.  Equal sets are one class
+from the start.  Neighbours in the sorted index connect most of what is near;
+only entries of a key whose classes are not yet connected are compared with each
+other, in blocks.  The components of near signatures are then confirmed on the
+full sets, again in blocks, and a block hands on no pairs but which class is
+connected with which.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -27,25 +32,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._blocks import BLOCK, in_blocks, spanning
 from ._store import drop, park, small
 from ._text import chunks, mix, shingles, stream
 from .components import components
 
-K, CHUNKS, ERRORS = 64, 12, 1
-MAX_DIFF = CHUNKS * (ERRORS + 1) - 1
-#: Neighbours in the index, of those under the distance threshold, that a class is checked against in the first round.
-FIRST_ROUND = 2
-#: Index entries compared at once in the second round.
-BLOCK = 512
+K, ERRORS = 64, 1
+MISSED = 3e-5
+#: Blocks up to which a component is confirmed as one group; a larger one is confirmed under each of its index keys.
+WHOLE = 64
 
 
-def _subsets() -> list[np.ndarray]:
-    bounds = np.linspace(0, K, CHUNKS + 1).round().astype(int)
-    return [np.array(s) for a, b in zip(bounds, bounds[1:]) for s in combinations(range(a, b), b - a - ERRORS)]
+@dataclass(frozen=True)
+class Plan:
+    """The symbols of each index key, and the largest distance whose pairs are all found."""
 
+    subsets: list[np.ndarray]
+    max_diff: int
 
-#: The symbols of each index key.
-SUBSETS = _subsets()
+    @classmethod
+    def of(cls, percent: int) -> Plan:
+        differ = 1 - percent / 100
+        for parts in range(1, K // (ERRORS + 1) + 1):
+            most = parts * (ERRORS + 1) - 1
+            over = sum(math.comb(K, d) * differ**d * (1 - differ) ** (K - d) for d in range(most + 1, K + 1))
+            if over <= MISSED:
+                break
+        bounds = np.linspace(0, K, parts + 1).round().astype(int)
+        return cls([np.array(s) for a, b in zip(bounds, bounds[1:]) for s in combinations(range(a, b), b - a - ERRORS)], most)
 
 
 def signatures(hashes: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -80,25 +94,23 @@ def sketch(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int =
     return docs.select(F.col(id).cast("long").alias(id), text).mapInArrow(run, "id long, n long, s1 long, s2 long, sig binary")
 
 
-def index_keys(classes: DataFrame, carry: list[str]) -> DataFrame:
-    """A row for each key of each class: (key, id, ...carry)."""
-    types = dict(classes.dtypes)
+def index_keys(classes: DataFrame, plan: Plan) -> DataFrame:
+    """(key, id) for each key of each class."""
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 part = b.slice(at, 4096)
-                sig = np.frombuffer(b"".join(part["sig"].to_pylist()), np.uint16).reshape(-1, K).astype(np.uint64)
-                keys = np.empty((len(sig), len(SUBSETS)), np.uint64)
-                for j, s in enumerate(SUBSETS):
+                sig = _sigs(part["sig"]).astype(np.uint64)
+                keys = np.empty((len(sig), len(plan.subsets)), np.uint64)
+                for j, s in enumerate(plan.subsets):
                     h = np.full(len(sig), j + 1, np.uint64)
                     for i in s:
                         h = mix(h ^ (sig[:, i] + np.uint64(1)))
                     keys[:, j] = h
-                rows = pa.array(np.repeat(np.arange(len(sig)), len(SUBSETS)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *(part[c].take(rows) for c in ("id", *carry))], ["key", "id", *carry])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(part["id"].to_numpy(), len(plan.subsets)))], ["key", "id"])
 
-    return classes.select("id", *carry, *(["sig"] if "sig" not in carry else [])).mapInArrow(run, ", ".join(f"{c} {t}" for c, t in [("key", "long"), ("id", "long"), *((c, types[c]) for c in carry)]))
+    return classes.select("id", "sig").mapInArrow(run, "key long, id long")
 
 
 def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -109,8 +121,8 @@ def _sigs(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, K)
 
 
-def neighbours(entries: DataFrame) -> DataFrame:
-    """Of index entries sorted by key and signature, pairs (x, y, diff) next to each other under one key and under the threshold."""
+def neighbours(entries: DataFrame, plan: Plan) -> DataFrame:
+    """Of index entries sorted by key and signature, links (a, b) between those next to each other under one key and under the threshold."""
 
     def run(batches):
         tail = None
@@ -121,95 +133,76 @@ def neighbours(entries: DataFrame) -> DataFrame:
                 b = pa.concat_batches([tail, b])
             key, ids, sig = b["key"].to_numpy(), b["id"].to_numpy(), _sigs(b["sig"])
             same = np.flatnonzero(key[1:] == key[:-1])
-            d = _differ(sig[same], sig[same + 1])
-            ok = same[d <= MAX_DIFF]
+            ok = same[_differ(sig[same], sig[same + 1]) <= plan.max_diff]
             tail = b.slice(b.num_rows - 1)
-            x, y = ids[ok], ids[ok + 1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(d[d <= MAX_DIFF].astype(np.int32))], ["x", "y", "diff"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(ids[ok + 1])], ["a", "b"])
 
-    return entries.repartitionByRange(F.col("key"), F.col("sig")).sortWithinPartitions("key", "sig", "id").mapInArrow(run, "x long, y long, diff int")
+    return entries.repartitionByRange("key", "sig").sortWithinPartitions("key", "sig", "id").mapInArrow(run, "a long, b long")
 
 
-def block_pairs(entries: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs (x, y) of different components under one key and under the threshold.
+def near_signatures(entries: DataFrame, sizes: DataFrame, plan: Plan) -> DataFrame:
+    """Links (a, b) that connect what is under the threshold and of different components, under each key of sizes.
 
-    entries: (key, id, comp, sig); sizes: (key, n).  The entries of a key are dealt
-    to ceil(n / BLOCK) blocks, and each two blocks are compared in one place, as
-    arrays; only pairs that pass leave it.
+    entries: (key, id, comp, sig); sizes: (key, n).
     """
-    g = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), F.col("g")).cast("int")
-    dealt = entries.join(small(sizes), "key").withColumn("g", g).withColumn("p", mine)
-    dealt = dealt.select("key", "id", "comp", "sig", "p", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("q"))
-    dealt = dealt.select("key", F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v"), "p", "id", "comp", "sig")
-
-    def compare(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids, comp, sig, p = group["id"].to_numpy(), group["comp"].to_numpy(), _sigs(group["sig"].combine_chunks() if isinstance(group["sig"], pa.ChunkedArray) else group["sig"]), group["p"].to_numpy()
-        u, v = group["u"][0].as_py(), group["v"][0].as_py()
-        left, right = np.flatnonzero(p == u), np.flatnonzero(p == v)
-        xs, ys = [], []
+
+    def compare(t: pa.Table, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch | None:
+        ids, comp, sig = t["id"].to_numpy(), t["comp"].to_numpy(), _sigs(t["sig"])
+        x, y = [], []
         for i in left:
             r = right[comp[right] != comp[i]]
-            if u == v:
-                r = r[ids[r] > ids[i]]
-            r = r[_differ(sig[r], sig[i]) <= MAX_DIFF]
-            xs.append(np.minimum(ids[r], ids[i]))
-            ys.append(np.maximum(ids[r], ids[i]))
-        return np.concatenate(xs or [ids[:0]]), np.concatenate(ys or [ids[:0]])
+            r = r[_differ(sig[r], sig[i]) <= plan.max_diff]
+            x.append(np.full(len(r), i))
+            y.append(r)
+        x, y = np.concatenate(x), np.concatenate(y)
+        return _connected(ids, x, y)
+
+    return in_blocks(entries, sizes, compare, "a long, b long")
+
+
+def _connected(ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch | None:
+    """A link from each row to the smallest id it reaches over links x, y."""
+    if not len(x):
+        return None
+    root = spanning(ids, x, y)
+    own = np.flatnonzero(root != ids)
+    return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(root[own])], ["a", "b"])
+
+
+def overlaps(hashes: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray, width: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of the sets of rows left and right; hashes are distinct within a row."""
+    _, inverse, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    shared = count[inverse] > 1
+    col = (np.cumsum(count > 1) - 1)[inverse[shared]]
+    row = row[shared]
+    order = np.argsort(col, kind="stable")
+    col, row = col[order], row[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    rows = int(max(left.max(), right.max())) + 1
+    for at in range(0, int(col[-1]) + 1 if len(col) else 0, width):
+        a, b = np.searchsorted(col, (at, at + width))
+        m = np.zeros((rows, min(width, int(col[-1]) + 1 - at)), np.float32)
+        m[row[a:b], col[a:b] - at] = 1
+        out += m[left] @ m[right].T
+    return out
 
-    def run(batches):
-        held = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b])
-            t = t if held is None else pa.concat_tables([held, t])
-            head = [t[c].to_numpy() for c in ("key", "u", "v")]
-            cuts = np.flatnonzero(np.any([h[1:] != h[:-1] for h in head], axis=0)) + 1
-            ends = [*cuts]
-            at = 0
-            for e in ends:
-                if e - at > 1:
-                    x, y = compare(t.slice(at, e - at))
-                    if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
-                at = e
-            held = t.slice(at)
-        if held is not None and held.num_rows > 1:
-            x, y = compare(held)
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
-
-    return dealt.repartition("key", "u", "v").sortWithinPartitions("key", "u", "v").mapInArrow(run, "x long, y long").distinct()
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int = 5) -> DataFrame:
-    """Of pairs (x, y) of ids, those whose full shingle sets resemble each other by percent or more, as links (a, b)."""
-    needed = park(pairs.select(F.col("x").alias("id")).unionAll(pairs.select("y")).distinct(), "needed")
-    texts = park(docs.join(small(needed), "id", "left_semi").select("id", "text"), "texts")
-    wide = pairs.select("x", "y").join(texts.select(F.col("id").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("id").alias("y"), F.col("text").alias("ty")), "y")
-
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        out = []
-        for _, _, buf, offs in chunks(column):
-            h, so = shingles(buf, offs, width)
-            out += [h[a:b] for a, b in zip(so, so[1:])]
-        return out
 
-    def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 200):
-                p = b.slice(at, 200)
-                own = [c.dictionary_encode() for c in (p["tx"], p["ty"])]
-                left, right = ([d[i] for i in c.indices.to_pylist()] for c in own for d in [sets(c.dictionary)])
-                both = np.array([2 * (len(s) + len(t)) - 2 * len(np.union1d(s, t)) for s, t in zip(left, right)]) // 2
-                total = np.array([len(s) + len(t) for s, t in zip(left, right)]) - both
-                ok = pa.array((both > 0) & (100 * both >= percent * total))
-                yield pa.RecordBatch.from_arrays([p["x"].filter(ok), p["y"].filter(ok)], ["a", "b"])
-
-    out = park(wide.mapInArrow(run, "a long, b long"), "confirmed")
-    drop(texts)
-    drop(needed)
-    return out
+def confirmed(texts: DataFrame, sizes: DataFrame, percent: int, width: int = 5) -> DataFrame:
+    """Links (a, b) that connect what resembles each other by percent or more, on full shingle sets.
+
+    texts: (key, id, text); sizes: (key, n).
+    """
+
+    def compare(t: pa.Table, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch | None:
+        ids = t["id"].to_numpy()
+        parts = [shingles(buf, offs, width) for _, _, buf, offs in chunks(t["text"].combine_chunks())]
+        size = np.concatenate([np.diff(offs) for _, offs in parts])
+        both = overlaps(np.concatenate([h for h, _ in parts]), np.repeat(np.arange(len(size)), size), left, right)
+        either = size[left][:, None] + size[right][None, :] - both
+        x, y = np.nonzero((both > 0) & (100 * both >= percent * either) & (ids[left][:, None] != ids[right][None, :]))
+        return _connected(ids, left[x], right[y])
+
+    return in_blocks(texts, sizes, compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
@@ -217,45 +210,56 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
 
     Two documents are linked if 100 * intersection >= percent * union of their
     distinct word shingles; component_id is the smallest id reachable over links.
-    A null, empty or blank text has an empty set and is linked with nothing.  ids
-    must be unique; a row with a null id is compared with nothing and comes back
-    with a null component and kept.  Extra columns are not looked at.
+    A null, empty or blank text has an empty set and is linked with nothing.  Rows
+    of one id count as one document, linked by any of their texts; a row with a
+    null id is compared with nothing and comes back with a null component and
+    kept.  Extra columns are not looked at.
     """
     base = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    plan = Plan.of(percent)
     sketched = park(sketch(base, "id", "text", width), "sketches")
-    some = sketched.where("n > 0 AND id IS NOT NULL")
-    classes = park(some.groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.min("sig").alias("sig")), "classes")
-
-    shared = park(index_keys(classes, []).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    n_shared = shared.count()
-    entries = park(index_keys(classes, ["sig"]).join(small(shared.select("key"), n_shared), "key", "left_semi"), "entries")
-
-    # first round: neighbours in the index, the closest few of each class
-    near = park(neighbours(entries).groupBy("x", "y").agg(F.min("diff").alias("diff")), "neighbours")
-    best = near.select("x", F.struct("diff", "y").alias("to")).unionAll(near.select(F.col("y").alias("x"), F.struct("diff", F.col("x").alias("y"))))
-    # a class has at most two neighbours under each of its keys, so these lists are short
-    first = best.groupBy("x").agg(F.slice(F.sort_array(F.collect_list("to")), 1, FIRST_ROUND).alias("to")).select("x", F.explode("to").alias("to"))
-    chosen = park(first.select(F.least("x", "to.y").alias("x"), F.greatest("x", "to.y").alias("y")).distinct(), "chosen")
-    drop(near)
-    links = confirmed(chosen, base, percent, width)
-    comp = park(components(links), "components")
-
-    # second round: what is not yet connected, exactly
-    known = entries.join(small(comp.withColumnRenamed("component", "comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    known = park(known, "known")
+    classes = park(sketched.where("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.min("sig").alias("sig")), "classes")
+
+    shared = park(index_keys(classes, plan).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "buckets")
+    filed = index_keys(classes, plan).join(small(shared), "key", "left_semi")
+    entries = park(filed.join(classes.select("id", "sig"), "id").select("key", "id", "sig"), "entries")
+
+    # what is near in the sorted index, then what isn't connected so far
+    chain = park(neighbours(entries, plan).distinct(), "chain")
+    comp = park(components(chain), "components")
+    known = park(entries.join(small(comp.withColumnRenamed("component", "comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id")), "known")
     drop(entries)
-    open_ = park(known.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "n"), "open")
-    rest = park(block_pairs(known, open_).join(chosen, ["x", "y"], "left_anti"), "pairs")
-    more = confirmed(rest, base, percent, width)
-    total = park(components(links.unionAll(more)), "components")
+    many = park(known.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "n"), "open")
+    rest = park(near_signatures(known, many, plan).distinct(), "rest")
+    near = park(components(chain.unionAll(rest)), "components")
+
+    # confirm each component on full sets
+    counts = near.groupBy("component").agg(F.count("*").alias("n"))
+    sizes = park(counts.withColumnRenamed("component", "key"), "sizes")
+    fits = F.col("n") <= WHOLE * BLOCK
+    group = near.select("id", F.col("component").alias("key"))
+    member = park(group.join(small(sizes.where(fits).select("key")), "key", "left_semi").select("key", "id"), "members")
+    large = sizes.where(~fits)
+    links = _confirm(base, member, sizes, percent, width)
+    if large.count():
+        inside = group.join(small(large.select("key")), "key", "left_semi").select("id")
+        under = park(known.select("key", "id").join(inside, "id", "left_semi").select("key", "id"), "filed")
+        links = links.unionAll(_confirm(base, under, park(under.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes"), percent, width))
+    total = park(components(links), "components")
 
     groups = classes.select("n", "s1", "s2", F.col("id").alias("rep")).join(small(total.withColumnRenamed("id", "rep")), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     groups = park(groups, "groups")
     out = sketched.join(groups, ["n", "s1", "s2"], "left").select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    for t in (shared, chosen, links, comp, known, open_, rest, more, classes, total):
+    for t in (shared, chain, comp, known, many, rest, near, sizes, member, classes, total):
         drop(t)
     return out.withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(True)))
 
 
+def _confirm(base: DataFrame, member: DataFrame, sizes: DataFrame, percent: int, width: int) -> DataFrame:
+    """Confirmed links among the ids filed under each key of member (key, id)."""
+    texts = base.join(small(member), "id").select("key", "id", "text")
+    return park(confirmed(texts, sizes, percent, width), "links")
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85)
