@@ -23,6 +23,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
 #: Characters of units that are segmented at once.
 CELLS = 1 << 16
+#: Bytes of text whose distinct units are found at once, a longer text alone.
+ENCODED = 4 << 20
+#: Ids that are decoded at once, a longer text alone.
+DECODED = 1 << 18
 _MARK = 0x2581
 
 
@@ -47,6 +51,7 @@ class Vocabulary:
     keys: np.ndarray
     key_id: np.ndarray
     key_score: np.ndarray
+    bitmap: np.ndarray
     bucket: np.ndarray
     widest: int
     unknown: float
@@ -94,7 +99,10 @@ class Vocabulary:
         if (keys[1:] == keys[:-1]).any():
             raise ValueError("two pieces share a hash")
         bucket = np.searchsorted(keys, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48)).astype(np.int32)
-        joint = np.unique([ord(c) for _, p in normal if len(p) > 1 for c in p])
+        bitmap = np.zeros(1 << 20, bool)
+        bitmap[(keys >> np.uint64(44)).astype(np.int64)] = True
+        joint = np.zeros(0x110000, bool)
+        joint[[ord(c) for _, p in normal if len(p) > 1 for c in p]] = True
         byte_id = np.full(256, -1, np.int64)
         unknown_id = 0
         shown = []
@@ -109,20 +117,22 @@ class Vocabulary:
                 shown.append(p.replace("▁", " ").encode())
         return cls(
             keys=keys, key_id=np.array([i for i, _ in normal])[order], key_score=np.array([score[i] for i, _ in normal])[order],
-            bucket=bucket, widest=int(np.diff(np.append(bucket, len(keys))).max()), unknown=min(score.values()) - UNKNOWN_PENALTY, unknown_id=unknown_id, byte_id=byte_id, joint=joint,
+            bitmap=bitmap, bucket=bucket, widest=int(np.diff(np.append(bucket, len(keys))).max()), unknown=min(score.values()) - UNKNOWN_PENALTY, unknown_id=unknown_id, byte_id=byte_id, joint=joint,
             split_marks=not any("▁" in p.lstrip("▁") for _, p in normal), longest=max(len(p) for _, p in normal),
             piece_bytes=np.frombuffer(b"".join(shown), np.uint8), piece_at=np.concatenate(([0], np.cumsum([len(s) for s in shown]))), dummy_prefix=dummy_prefix,
         )
 
-    def probe(self, h: np.ndarray) -> np.ndarray:
-        """Index among the sorted keys of each hash, or -1."""
-        at = self.bucket[(h >> np.uint64(48)).astype(np.int64)]
-        out = np.full(h.shape, -1, np.int32)
+    def probe(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions of h that are pieces' hashes, their indexes among the sorted keys)."""
+        where = np.flatnonzero(self.bitmap[(h >> np.uint64(44)).view(np.int64)])
+        h = h[where]
+        at = self.bucket[(h >> np.uint64(48)).view(np.int64)]
+        out = np.full(len(h), -1, np.int32)
         for k in range(self.widest):
             i = np.minimum(at + k, len(self.keys) - 1)
-            hit = self.keys[i] == h
-            out[hit] = i[hit]
-        return out
+            out = np.where(self.keys[i] == h, i, out)
+        ok = out >= 0
+        return where[ok], out[ok]
 
     def segment(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best segmentations of equally long units (a row of code points each): (ids one unit after another, how many in each).
@@ -130,22 +140,26 @@ class Vocabulary:
         An id under 0 is an unknown character, -1 - code point.  Among equal scores the longer last piece wins.
         """
         m, n = cells.shape
-        h = _prefix(mix(cells.astype(np.uint64)))
+        h = np.ascontiguousarray(_prefix(mix(cells.astype(np.uint64))).T)
         _, down = _power(n)
         score = np.full((n + 1, m), -np.inf)
         score[0] = 0
         step = np.zeros((n + 1, m), np.int32)
         piece = np.zeros((n + 1, m), np.int64)
+        rows = np.arange(m)
         for i in range(1, n + 1):
             starts = np.arange(max(0, i - self.longest), i)
-            sub = (h[:, i][None, :] - h[:, starts].T) * down[starts][:, None]
-            key = self.probe(mix(sub + (i - starts).astype(np.uint64)[:, None]))
-            gain = np.where(key >= 0, self.key_score[key], -np.inf)
-            lone = key[-1] < 0
-            gain[-1][lone] = self.unknown
-            gain += score[starts]
+            sub = (h[i] - h[starts[0] : i]) * down[starts][:, None]
+            sub += (i - starts).astype(np.uint64)[:, None]
+            where, found = self.probe(mix(sub).ravel())
+            key = np.full(sub.size, -1, np.int32)
+            key[where] = found
+            gain = np.full(sub.size, -np.inf)
+            gain[where] = self.key_score[found]
+            key, gain = key.reshape(sub.shape), gain.reshape(sub.shape)
+            gain[-1][key[-1] < 0] = self.unknown
+            gain += score[starts[0] : i]
             best = gain.argmax(0)
-            rows = np.arange(m)
             score[i] = gain[best, rows]
             step[i] = i - starts[best]
             k = key[best, rows]
@@ -153,7 +167,6 @@ class Vocabulary:
         out = np.zeros((m, n), np.int64)
         count = np.zeros(m, np.int64)
         at = np.full(m, n)
-        rows = np.arange(m)
         while len(rows):
             out[rows, n - 1 - count[rows]] = piece[at[rows], rows]
             count[rows] += 1
@@ -179,7 +192,7 @@ class Vocabulary:
     def encode(self, texts: pa.Array) -> pa.Array:
         """list<int32> of each text; null for null, empty for empty."""
         values, lens = [], np.zeros(len(texts), np.int64)
-        for lo, hi, buf, offs in chunks(texts):
+        for lo, hi, buf, offs in chunks(texts, ENCODED):
             cp = np.frombuffer(buf.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
             head = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))[offs]
             full = np.diff(head) > 0
@@ -189,7 +202,7 @@ class Vocabulary:
                 head = head + np.concatenate(([0], np.cumsum(full)))
             if not len(cp):
                 continue
-            alone = self.joint[np.minimum(np.searchsorted(self.joint, cp), len(self.joint) - 1)] != cp
+            alone = ~self.joint[cp]
             mark = cp == _MARK
             start = np.zeros(len(cp), bool)
             start[head[:-1][full]] = True
@@ -231,18 +244,22 @@ class Vocabulary:
 
     def decode(self, lists: pa.Array) -> pa.Array:
         """Text of each list of ids; null for null.  Ids outside the vocabulary count as unknown, bytes that aren't UTF-8 as U+FFFD."""
-        ends = lists.offsets.to_numpy().astype(np.int64)
-        ids = lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
-        ends = ends - ends[0]
-        ids = np.where((ids < 0) | (ids >= len(self.piece_at) - 1), self.unknown_id, ids).astype(np.int64)
-        size = self.piece_at[ids + 1] - self.piece_at[ids]
-        raw = self.piece_bytes[_ragged(self.piece_at[ids], size)].tobytes()
-        at = np.concatenate(([0], np.cumsum(size)))[ends]
-        valid = lists.is_valid().to_numpy(zero_copy_only=False)
         out = []
-        for a, b, ok in zip(at.tolist(), at[1:].tolist(), valid.tolist()):
-            s = raw[a:b]
-            out.append((s[1:] if self.dummy_prefix and s[:1] == b" " else s).decode("utf-8", "replace") if ok else None)
+        valid = lists.is_valid().to_numpy(zero_copy_only=False).tolist()
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        all_ids = lists.values
+        lo = 0
+        while lo < len(lists):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + DECODED, "right")) - 1)
+            ids = all_ids.slice(ends[lo], ends[hi] - ends[lo]).fill_null(-1).to_numpy(zero_copy_only=False)
+            ids = np.where((ids < 0) | (ids >= len(self.piece_at) - 1), self.unknown_id, ids).astype(np.int64)
+            size = self.piece_at[ids + 1] - self.piece_at[ids]
+            raw = self.piece_bytes[_ragged(self.piece_at[ids], size)].tobytes()
+            at = np.concatenate(([0], np.cumsum(size)))[ends[lo : hi + 1] - ends[lo]].tolist()
+            for a, b, ok in zip(at, at[1:], valid[lo:hi]):
+                t = raw[a:b]
+                out.append((t[1:] if self.dummy_prefix and t[:1] == b" " else t).decode("utf-8", "replace") if ok else None)
+            lo = hi
         return pa.array(out, pa.string())
 
 
