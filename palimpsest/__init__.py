@@ -1 +1,11 @@
-"""Document sanitisation and corpus preparation as Spark plans."""
+"""Document sanitisation and corpus preparation as Spark plans.
+
+Functions that run in Python workers are shipped by value, so executors need no
+installed copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
