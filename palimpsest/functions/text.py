@@ -8,6 +8,7 @@ from collections.abc import Mapping
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .checksums import strip
 from .patterns import ALIASES, KINDS, WS
@@ -17,7 +18,7 @@ INVISIBLE = "­​‌‍﻿"
 _LETTER = r"[\p{L}\p{N}_]"
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _composed(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
 

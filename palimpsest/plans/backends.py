@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.findings import from_spans
+from ..functions.findings import CRITIQUE, from_spans
 from ..functions.masking import accepted
 from ..functions.recovery import critique_of, findings_of, json_of, names_of
 from ..functions.text import clip, rendered
@@ -25,27 +25,34 @@ Model = Callable[[list[tuple[str, str]]], list[str]]
 WINDOW = 60_000
 
 
-def asked(model: Model, system: str, prompt: Column, batch: int = 16, retries: int = 2) -> Column:
-    """The model's answers, null where it failed for good: a row's failure is not the job's."""
+def asked(rows: DataFrame, model: Model, system: str, prompt: Column, batch: int = 16, retries: int = 2) -> DataFrame:
+    """rows with answer, the model's answers, null where it failed for good: a row's failure is not the job's.
 
-    @F.arrow_udf("string")
-    def run(prompts: pa.Array) -> pa.Array:
-        said = prompts.to_pylist()
-        out: list[str | None] = []
-        for at in range(0, len(said), batch):
-            part = [(system, p or "") for p in said[at : at + batch]]
-            for attempt in range(retries + 1):
-                try:
-                    out += model(part)
-                    break
-                except Exception:  # noqa: BLE001 - whatever the model's client raises
-                    if attempt == retries:
-                        out += [None] * len(part)
-                    else:
-                        time.sleep(min(2**attempt, 8))
-        return pa.array(out, pa.string())
+    Rows pass through one operator of their own, which the optimizer neither
+    repeats nor moves, so each prompt is sent once an attempt of its task.
+    """
+    asking = rows.withColumn("answer", prompt.cast("string"))
 
-    return run(prompt)
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, batch):
+                part = b.slice(at, batch)
+                said: list[str | None] = [None] * part.num_rows
+                for attempt in range(retries + 1):
+                    try:
+                        said = model([(system, p or "") for p in part["answer"].to_pylist()])
+                        break
+                    except Exception:  # noqa: BLE001 - whatever the model's client raises
+                        if attempt < retries:
+                            time.sleep(min(2**attempt, 8))
+                yield part.set_column(part.schema.get_field_index("answer"), "answer", pa.array(said, pa.string()))
+
+    return asking.mapInArrow(run, asking.schema)
+
+
+def _answered(rows: DataFrame, model: Model, prompt: Prompt, body: Column) -> DataFrame:
+    """rows with __answer, the JSON of the model's answer."""
+    return asked(rows, model, prompt.system, body).withColumn("__answer", json_of(F.col("answer"))).drop("answer")
 
 
 def detector(model: Model, prompt: Prompt, name_prompt: Prompt | None = None, text: str = "text") -> Callable[[DataFrame], DataFrame]:
@@ -58,10 +65,10 @@ def detector(model: Model, prompt: Prompt, name_prompt: Prompt | None = None, te
             rendered(F.lit(prompt.template), {"document": clip(F.col(text), WINDOW)}), F.when(said != "", F.concat(F.lit("\n\nFeedback on the last round:"), said)).otherwise(F.lit("")),
             F.when(before != "", F.concat(F.lit("\n\nReported before, keep what is right:"), before)).otherwise(F.lit("")),
         )
-        rows = rows.withColumn("__answer", json_of(asked(model, prompt.system, body)))
+        rows = _answered(rows, model, prompt, body)
         out = rows.withColumn("found", F.when(F.col("__answer").isNull(), from_spans(F.col("validated"))).otherwise(findings_of(F.col("__answer"))))
         if name_prompt:
-            out = out.withColumn("__answer", json_of(asked(model, name_prompt.system, rendered(F.lit(name_prompt.template), {"document": clip(F.col(text), 40_000)}))))
+            out = _answered(out, model, name_prompt, rendered(F.lit(name_prompt.template), {"document": clip(F.col(text), 40_000)}))
             out = out.withColumn("found", F.concat("found", names_of(F.col("__answer"))))
         return out.drop("__answer")
 
@@ -73,8 +80,10 @@ def reviewer(model: Model, prompt: Prompt, text: str = "text", max_rounds: int =
 
     def run(rows: DataFrame) -> DataFrame:
         body = rendered(F.lit(prompt.template), {"document": clip(F.col(text), WINDOW), "findings": F.to_json("findings"), "validated": F.to_json("validated"), "round_index": F.col("round"), "max_rounds": F.lit(max_rounds)})
-        rows = rows.withColumn("__answer", F.coalesce(json_of(asked(model, prompt.system, body)), F.lit("{}")))
-        return rows.withColumn("critique", critique_of(F.col("__answer"))).drop("__answer")
+        rows = _answered(rows, model, prompt, body).withColumn("__answer", F.coalesce("__answer", F.lit("{}")))
+        # read back from JSON: fields of a struct made here would each be written out with the whole recovery
+        said = F.from_json(F.to_json(critique_of(F.col("__answer"))), CRITIQUE, {"mode": "PERMISSIVE"})
+        return rows.withColumn("critique", said).drop("__answer")
 
     return run
 
@@ -82,7 +91,7 @@ def reviewer(model: Model, prompt: Prompt, text: str = "text", max_rounds: int =
 def model_masked(rows: DataFrame, model: Model, prompt: Prompt, text: str = "text") -> DataFrame:
     """rows of sanitised() whose cleaned_text is the model's where that holds no planned value; a clipped text is never given to it."""
     body = rendered(F.lit(prompt.template), {"document": F.col(text), "plan": F.to_json("plan")})
-    answer = json_of(asked(model, prompt.system, F.when(F.length(text) <= WINDOW, body)))
-    rows = rows.withColumn("__said", F.try_variant_get(F.try_parse_json(answer), "$.cleaned_text", "string"))
+    rows = _answered(rows, model, prompt, F.when(F.length(text) <= WINDOW, body))
+    rows = rows.withColumn("__said", F.try_variant_get(F.try_parse_json("__answer"), "$.cleaned_text", "string")).drop("__answer")
     fits = (F.length(text) <= WINDOW) & F.col("__said").isNotNull()
     return rows.withColumn("cleaned_text", F.when(fits, accepted(F.col("__said"), F.col("cleaned_text"), F.col("plan"))).otherwise(F.col("cleaned_text"))).drop("__said")

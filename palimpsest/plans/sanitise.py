@@ -71,7 +71,9 @@ def found(docs: DataFrame, settings: Settings, text: str = "text", reviewer: Rev
         rows = detector(rows).withColumn("found", augmented(F.col("found"), F.col("__names")))
         rows = reviewer(rows.withColumnRenamed("findings", "__last").withColumn("findings", F.col("found")).withColumn("round", F.lit(k)))
         c = F.col("critique")
-        now = reviewable(reconciled(merged(F.col("found"), c, settings.fix_kinds), c, F.col("validated")), F.col(text))
+        rows = rows.withColumn("__merged", merged(F.col("found"), c, settings.fix_kinds))
+        rows = rows.withColumn("__whole", reconciled(F.col("__merged"), c, F.col("validated")))
+        now = reviewable(F.col("__whole"), F.col(text))
         told = F.struct(F.lit(k).alias("round"), F.size("found").alias("detector_findings"), c["agreement"].alias("critic_agreement"), F.size(c["missing"]).alias("critic_missing"), F.size(c["false_positives"]).alias("critic_false_positives"), c["accepted"].alias("accepted"))
         rows = rows.withColumns({
             "findings": F.when(before, F.col("__last")).otherwise(now),
@@ -79,7 +81,7 @@ def found(docs: DataFrame, settings: Settings, text: str = "text", reviewer: Rev
             "feedback": F.when(F.size(c["feedback"]) > 0, c["feedback"]).otherwise(F.array(F.lit(DEFAULT_FEEDBACK))),
             "__done": before | F.coalesce(converged(c, settings.agreement_threshold), F.lit(False)),
         })
-        rows = rows.drop("__last", "found", "critique", "round")
+        rows = rows.drop("__last", "found", "critique", "round", "__merged", "__whole")
     return rows.withColumnRenamed("__done", "converged").drop("__names", "feedback")
 
 
