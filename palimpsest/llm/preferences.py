@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._store import park
+
 #: A turn is rendered as OPEN role CLOSE text END.
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
 ASSISTANT = "assistant"
@@ -33,7 +35,7 @@ def reply_pairs(talks: DataFrame) -> DataFrame:
     answers = F.filter(F.transform("turns", lambda x, i: F.when(x["role"] == ASSISTANT, i + 1).otherwise(0)), lambda n: n > 0)
     rows = talks.withColumn("k", F.coalesce(F.array_max(answers), F.lit(0))).where("k > 0")
     before = F.slice("turns", 1, F.col("k") - 1)
-    asked = F.coalesce(F.element_at(F.filter(before, lambda x: x["role"] == "user"), -1)["text"], F.lit(""))
+    asked = F.coalesce(F.try_element_at(F.filter(before, lambda x: x["role"] == "user"), F.lit(-1))["text"], F.lit(""))
     echo = F.array(F.struct(F.lit(ASSISTANT).alias("role"), asked.alias("text")))
     return rows.select(F.lit("reply").alias("kind"), F.col("id").alias("chosen_id"), F.col("id").alias("rejected_id"), F.slice("turns", 1, F.col("k")).alias("chosen"), F.concat(before, echo).alias("rejected"))
 
@@ -47,7 +49,7 @@ def sibling_pairs(talks: DataFrame) -> DataFrame:
     first = F.element_at("turns", 1)
     rows = talks.select("id", "turns", first["role"].alias("role"), first["text"].alias("text"), said.alias("said"))
     best = rows.groupBy("role", "text").agg(F.min(F.struct((-F.col("said")).alias("said"), "id")).alias("best"), F.count("*").alias("n")).where("n > 1")
-    best = best.select("role", "text", F.col("best.id").alias("chosen_id"))
+    best = park(best.select("role", "text", F.col("best.id").alias("chosen_id")), "best")  # read from a table, so that the join can split a hot first turn
     others = rows.select(F.col("id").alias("rejected_id"), F.col("turns").alias("rejected"), "role", "text").join(best, ["role", "text"]).where("chosen_id <> rejected_id")
     chosen = talks.select(F.col("id").alias("chosen_id"), F.col("turns").alias("chosen"))
     return others.join(chosen, "chosen_id").select(F.lit("sibling").alias("kind"), "chosen_id", "rejected_id", "chosen", "rejected")
