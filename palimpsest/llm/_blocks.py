@@ -32,7 +32,8 @@ def in_blocks(entries: DataFrame, sizes: DataFrame, compare: Callable[[pa.Table,
 
     def whole(t: pa.Table) -> pa.RecordBatch | None:
         p = t["p"].to_numpy()
-        return compare(t.combine_chunks(), np.flatnonzero(p == t["u"][0].as_py()), np.flatnonzero(p == t["v"][0].as_py()))
+        left, right = np.flatnonzero(p == t["u"][0].as_py()), np.flatnonzero(p == t["v"][0].as_py())
+        return compare(t.combine_chunks(), left, right) if len(left) and len(right) else None
 
     def run(batches):
         held = None

@@ -5,6 +5,7 @@ A batch of texts is one byte array with offsets; all steps work on whole arrays.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +43,16 @@ def _byte_words() -> np.ndarray:
 _BYTE = _byte_words()
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_powers: dict[str, np.ndarray] = {}
+
+
+class _Cache(dict):
+    """Kept in each process; a function that goes to another process takes none of it along."""
+
+    def __reduce__(self):
+        return _Cache, ()
+
+
+_powers: dict[str, np.ndarray] = _Cache()
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,6 +89,13 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.
         lo = hi
 
 
+def trim() -> None:
+    """Give freed memory back to the system, so that a reused worker doesn't hold what its largest batch took."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def words(buf: np.ndarray, offs: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row) of each maximal run of bytes that aren't white space."""
     if not len(buf):

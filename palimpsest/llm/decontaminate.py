@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import _BASE, _BYTE, _SPACE, chunks, mix, span_hash, words
+from ._text import _BASE, _BYTE, _SPACE, chunks, mix, span_hash, trim, words
 
 #: Words of a passage; a longer item is cut into passages that cover it.
 PASSAGE = 60
@@ -198,6 +198,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_i
             keep = np.ones(len(column), bool)
             for lo, _, buf, offs in chunks(column):
                 keep[[lo + r for r, *_ in sent.value.match(*word_hashes(buf, offs))]] = False
+            trim()
             return pa.array(keep)
 
         return ok

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import CHUNK, chunks
+from ._text import CHUNK, chunks, trim
 
 # Families of ISO 639-1 codes; a code that isn't listed is a family of its own.
 FAMILIES = {
@@ -194,6 +194,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def predict(texts: pa.Array) -> pa.Array:
         lang, score = sent.value.predict(texts)
+        trim()
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
 
     letter = F.col(text).isNotNull() & F.col(text).rlike(r"\p{L}")

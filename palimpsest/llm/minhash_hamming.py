@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ._blocks import BLOCK, in_blocks, spanning
 from ._store import drop, park, small
-from ._text import chunks, mix, shingles, stream
+from ._text import chunks, mix, shingles, stream, trim
 from .components import components
 
 K, ERRORS = 64, 1
@@ -90,6 +90,7 @@ def sketch(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int =
                 sums = [np.concatenate(([0], np.cumsum(mix(h ^ np.uint64(k)), dtype=np.uint64))) for k in (17, 29)]
                 s1, s2 = ((s.astype(np.uint64)[so[1:]] - s.astype(np.uint64)[so[:-1]]).view(np.int64) for s in sums)
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(np.diff(so)), pa.array(s1), pa.array(s2), pa.array([x.tobytes() for x in sig], pa.binary())], ["id", "n", "s1", "s2", "sig"])
+            trim()
 
     return docs.select(F.col(id).cast("long").alias(id), text).mapInArrow(run, "id long, n long, s1 long, s2 long, sig binary")
 
@@ -249,7 +250,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
 
     groups = classes.select("n", "s1", "s2", F.col("id").alias("rep")).join(small(total.withColumnRenamed("id", "rep")), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     groups = park(groups, "groups")
-    out = sketched.join(groups, ["n", "s1", "s2"], "left").select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    out = sketched.join(groups, ["n", "s1", "s2"], "left").select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
     for t in (shared, chain, comp, known, many, rest, near, sizes, member, classes, total):
         drop(t)
     return out.withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(True)))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import _power, chunks, mix
+from ._text import _power, chunks, mix, trim
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Score of an unknown character below the worst piece, as in the unigram model.
@@ -24,7 +24,7 @@ UNKNOWN_PENALTY = 10.0
 #: Characters of units that are segmented at once.
 CELLS = 1 << 16
 #: Bytes of text whose distinct units are found at once, a longer text alone.
-ENCODED = 4 << 20
+ENCODED = 2 << 20
 #: Ids that are decoded at once, a longer text alone.
 DECODED = 1 << 18
 _MARK = 0x2581
@@ -278,7 +278,9 @@ def encode(docs: DataFrame, model: str | Vocabulary = MODEL, text: str = "text",
 
     @F.arrow_udf("array<int>")
     def run(column: pa.Array) -> pa.Array:
-        return sent.value.encode(column)
+        out = sent.value.encode(column)
+        trim()
+        return out
 
     return docs.withColumn(ids, run(F.col(text)))
 
@@ -289,7 +291,9 @@ def decode(rows: DataFrame, model: str | Vocabulary = MODEL, ids: str = "token_i
 
     @F.arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:
-        return sent.value.decode(column)
+        out = sent.value.decode(column)
+        trim()
+        return out
 
     return rows.withColumn(text, run(F.col(ids)))
 
