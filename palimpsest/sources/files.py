@@ -25,7 +25,7 @@ IMAGE_MAGIC = (b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff", b"GIF87a", b"GIF89a", b"BM
 # Caps on characters, rows and parts.
 MAX_BYTES = 25 << 20
 TEXT_CHARS, OFFICE_CHARS, SHEET_ROWS, OFFICE_PARTS = 400_000, 200_000, 200, 40
-#: What offline mode puts in place of an image's text.
+# What offline mode puts in place of an image's text.
 TRANSCRIPT = (
     "# (mock transcript)", "", "Mock mode produced no OCR text for 1 page image(s).", "", "## Sample Record", "", "| Field | Value |", "| --- | --- |", "| Full name | Mario Rossi |",
     "| Email | mario.rossi@example.com |", "| Phone | +39 333 1234567 |", "| IBAN | IT60X0542811101000000123456 |", "| Date of birth | 14/03/1985 |",
