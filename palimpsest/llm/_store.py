@@ -15,12 +15,18 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, as in local tests, one of our own."""
+    """The folder of ``spark.checkpoint.dir``.
+
+    Where that is unset, local runs such as tests get a temporary folder; a cluster
+    gets one in its warehouse, as no machine's own folder is seen by the others.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
+    if base is None and spark.sparkContext.master.split("[")[0] == "local":
         base = tempfile.mkdtemp(prefix="palimpsest-")
         atexit.register(shutil.rmtree, base, True)
         spark.conf.set("spark.checkpoint.dir", base)
+    elif base is None:
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_between_steps"
     return base.rstrip("/")
 
 
