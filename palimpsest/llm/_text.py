@@ -45,14 +45,14 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
 
-class _Cache(dict):
+class Cache(dict):
     """Kept in each process; a function that goes to another process takes none of it along."""
 
     def __reduce__(self):
-        return _Cache, ()
+        return Cache, ()
 
 
-_powers: dict[str, np.ndarray] = _Cache()
+_powers: dict[str, np.ndarray] = Cache()
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ._blocks import in_blocks, spanning
 from ._store import drop, park, small
-from ._text import mix, stream
+from ._text import Cache, mix, stream
 from .components import components
 
 #: Probability with which a pair right at the threshold is missed.
@@ -33,18 +33,23 @@ def plan_tables(n: int, cosine: float, missed: float = MISSED) -> tuple[int, int
     return bits, math.ceil(math.log(missed) / math.log(1 - agree**bits))
 
 
-def hyperplanes(dim: int, count: int, seed: int = 1) -> np.ndarray:
-    return np.random.default_rng([seed, dim]).standard_normal((dim, count))
+_planes: dict[tuple[int, int], np.ndarray] = Cache()
 
 
-def _codes(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """The bucket of each row in each table."""
-    out = np.empty((len(x), tables), np.uint64)
+def hyperplanes(dim: int, count: int) -> np.ndarray:
+    """The same count random directions for a dimension, everywhere."""
+    if (dim, count) not in _planes:
+        _planes[dim, count] = np.random.default_rng([1, dim]).standard_normal((dim, count))
+    return _planes[dim, count]
+
+
+def _codes(x: np.ndarray, bits: int, tables: int, first: int | None = None) -> np.ndarray:
+    """The bucket of each row in each table, or in the first few."""
     planes = hyperplanes(x.shape[1], bits * tables)
-    weight = np.uint64(1) << np.arange(bits, dtype=np.uint64)
-    for t in range(tables):
-        out[:, t] = ((x @ planes[:, t * bits : (t + 1) * bits]) > 0).astype(np.uint64) @ weight
-    return out
+    tables = tables if first is None else first
+    weight = (np.uint64(1) << np.arange(bits, dtype=np.uint64))[None, None, :]
+    sign = (x @ planes[:, : tables * bits] > 0).reshape(len(x), tables, bits)
+    return (sign * weight).sum(-1, dtype=np.uint64)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -118,7 +123,7 @@ def near_duplicates(table: DataFrame, id: str = "vec_id", vector: str = "embeddi
             return None
         # a pair that shares several buckets counts in the first of them
         own = np.unique(np.concatenate([i, j]))
-        code = _codes(x[own], bits, tables)[:, : t + 1]
+        code = _codes(x[own], bits, tables, t + 1)
         same = np.zeros(len(i), bool)
         for at in range(0, len(i), 1 << 16):
             a, b = (np.searchsorted(own, k[at : at + (1 << 16)]) for k in (i, j))
