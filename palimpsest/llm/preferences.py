@@ -92,7 +92,7 @@ def preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejec
 
 
 def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    talks = conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    talks = park(conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "talks")  # read three times
     out = preferences(reply_pairs(talks).unionAll(sibling_pairs(talks)))
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
     return out.select("kind", "chosen_id", "rejected_id", "prompt_turns", "prompt", "chosen", "rejected", spans("chosen_spans").alias("chosen_mask"), spans("rejected_spans").alias("rejected_mask"))
