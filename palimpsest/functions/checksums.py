@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
 
 
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c) with c worked out once, however often use names it; inside lambdas Spark doesn't see repetitions."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def _characters(c: Column) -> Column:
     return F.filter(F.split(c, ""), lambda x: x != "")
 
@@ -30,28 +37,33 @@ def _position(alphabet: str, c: Column) -> Column:
 
 def luhn_ok(c: Column) -> Column:
     """At least 13 digits, and their Luhn sum is a multiple of ten; what isn't a digit is passed over."""
-    digits = _characters(F.regexp_replace(c, "[^0-9]", ""))
-    odd = F.size(digits) % 2
 
-    def value(d: Column, i: Column) -> Column:
-        n = d.cast("int")
-        return F.when(i % 2 != odd, n).when(n > 4, 2 * n - 9).otherwise(2 * n)
+    def check(digits: Column) -> Column:
+        odd = F.size(digits) % 2
+
+        def add(a: Column, x: Column) -> Column:
+            n = x.cast("int")
+            worth = F.when(a["i"] % 2 != odd, n).when(n > 4, 2 * n - 9).otherwise(2 * n)
+            return F.struct((a["i"] + 1).alias("i"), (a["sum"] + worth).alias("sum"))
 
-    total = F.aggregate(F.transform(digits, value), F.lit(0), lambda a, x: a + x)
-    return F.coalesce((F.size(digits) >= 13) & (total % 10 == 0), F.lit(False))
+        return F.aggregate(digits, F.struct(F.lit(0).alias("i"), F.lit(0).alias("sum")), add, lambda a: (a["i"] >= 13) & (a["sum"] % 10 == 0))
+
+    return F.coalesce(bound(_characters(F.regexp_replace(c, "[^0-9]", "")), check), F.lit(False))
 
 
 def iban_ok(c: Column) -> Column:
     """Shape, length 15 to 34 and remainder 1 modulo 97, white space aside; the number is folded, as it exceeds any decimal."""
-    v = F.upper(F.regexp_replace(c, WS, ""))
-    moved = _characters(F.concat(F.substring(v, 5, 40), F.substring(v, 1, 4)))
 
     def fold(a: Column, x: Column) -> Column:
         n = _position("0123456789" + ALPHABET, x)
         return F.pmod(F.when(n > 9, a * 100).otherwise(a * 10) + n, F.lit(97))
 
-    rest = F.aggregate(moved, F.lit(0), fold)
-    return F.coalesce(F.length(v).between(15, 34) & v.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9]+$") & (rest == 1), F.lit(False))
+    def check(v: Column) -> Column:
+        shape = F.length(v).between(15, 34) & v.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9]+$")
+        moved = _characters(F.concat(F.substring(v, 5, 40), F.substring(v, 1, 4)))
+        return F.when(shape, F.aggregate(moved, F.lit(0), fold) == 1).otherwise(F.lit(False))
+
+    return F.coalesce(bound(F.upper(F.regexp_replace(c, WS, "")), check), F.lit(False))
 
 
 def fiscal_code_ok(c: Column) -> Column:
@@ -61,16 +73,16 @@ def fiscal_code_ok(c: Column) -> Column:
 
 def fiscal_code_checked(c: Column) -> Column:
     """Has the shape and the right check letter."""
-    v = F.upper(strip(c))
     odd = F.array(*[F.lit(w) for w in ODD_WEIGHTS])
 
-    def weight(i: Column) -> Column:
-        x = v.substr(i + 1, F.lit(1))
-        n = F.coalesce(x.try_cast("int"), _position(ALPHABET, x))
-        return F.when(i % 2 == 0, F.get(odd, n)).otherwise(n)
+    def check(v: Column) -> Column:
+        def weight(i: Column) -> Column:
+            return bound(v.substr(i + 1, F.lit(1)), lambda x: bound(F.coalesce(x.try_cast("int"), _position(ALPHABET, x)), lambda n: F.when(i % 2 == 0, F.get(odd, n)).otherwise(n)))
+
+        total = F.aggregate(F.sequence(F.lit(0), F.lit(14)), F.lit(0), lambda a, i: a + weight(i))
+        return F.when(v.rlike(CF_SHAPE), F.lit(ALPHABET).substr(total % 26 + 1, F.lit(1)) == v.substr(F.lit(16), F.lit(1))).otherwise(F.lit(False))
 
-    total = F.aggregate(F.sequence(F.lit(0), F.lit(14)), F.lit(0), lambda a, i: a + weight(i))
-    return F.coalesce(v.rlike(CF_SHAPE) & (F.lit(ALPHABET).substr(total % 26 + 1, F.lit(1)) == v.substr(F.lit(16), F.lit(1))), F.lit(False))
+    return F.coalesce(bound(F.upper(strip(c)), check), F.lit(False))
 
 
 def nif_ok(c: Column) -> Column:

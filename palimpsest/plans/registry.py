@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checksums, findings, masking, names, patterns, recovery, text
 from ..functions.pseudonyms import pseudonym
-from ..functions.scan import candidates, resolve_overlaps
+from ..functions.scan import candidates, resolve_overlaps, scan
 from ..operators import audit, vault
 from ..sources.files import kind_of_file
 from .sanitise import Settings, audited, sanitised, trace
@@ -153,7 +153,7 @@ def scan_phone_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def scan_all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All scanners and overlap resolution."""
-    rows = _documents(spark, sf_dir).select("id", F.explode(resolve_overlaps(candidates(F.col("text")))).alias("s")).select("id", "s.*")
+    rows = _documents(spark, sf_dir).select("id", F.explode(scan(F.col("text"))).alias("s")).select("id", "s.*")
     return rows.withColumnsRenamed({"start": "start_pos", "end": "end_pos"})
 
 
