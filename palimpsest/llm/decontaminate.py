@@ -38,8 +38,18 @@ def _tokens() -> tuple[np.ndarray, np.ndarray]:
 _WORD, _BREAK = _tokens()
 
 
+def folded(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows in full Unicode case folding (A-Z of a row without other letters is left to the byte table); bytes that aren't UTF-8 stay."""
+    if not (buf > 127).any():
+        return buf, offs
+    rows = [buf[a:b].tobytes() for a, b in zip(offs, offs[1:])]
+    rows = [r if r.isascii() else r.decode("utf-8", "surrogateescape").casefold().encode("utf-8", "surrogateescape") for r in rows]
+    return np.frombuffer(b"".join(rows), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+
+
 def word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each lower-cased word, word offsets of the rows)."""
+    """(hash of each case-folded word, word offsets of the rows)."""
+    buf, offs = folded(buf, offs)
     start, end, row = words(buf, offs, _BREAK)
     return span_hash(buf, start, end, _WORD), np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(offs) - 1))))
 
@@ -162,8 +172,8 @@ def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int):
 def matches(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE, passage: int = PASSAGE, min_words: int = MIN_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, item_id, edits, first_word, end_word): the passages of test items in documents, each at its best stretch.
 
-    Words are runs of letters, digits and non-ASCII characters, without case for
-    A-Z.  A passage of n words is found wherever a stretch of the document is
+    Words are runs of letters, digits and non-ASCII characters, without case by
+    Unicode's full folding.  A passage of n words is found wherever a stretch of the document is
     within int(n * rate) word edits.  Null and empty texts, items under min_words
     words and items with a null id match nothing; repeated documents each give
     their own rows; a document that holds a passage several times gives one row.

@@ -90,6 +90,21 @@ def test_decontamination_against_brute_force(spark):
     assert matches(df, bench.where("false")).collect() == [] and matches(df.where("false"), bench).collect() == []
 
 
+def test_decontamination_folds_case_beyond_ascii(spark):
+    rng = random.Random(8)
+    vocabulary = [f"{w}{k}" for k in range(40) for w in ("éonleeau", "straße", "ñandú", "größe", "λόγος", "plain")]
+    items = [[rng.choice(vocabulary) for _ in range(n)] for n in (8, 26, 30)]
+    docs = [[rng.choice(vocabulary) for _ in range(20)] + t + [rng.choice(vocabulary)] for t in items] + [[rng.choice(vocabulary) for _ in range(60)]]
+    rows = [(10 * i + k, f(" ".join(d))) for i, d in enumerate(docs) for k, f in enumerate((str, str.upper, str.title))]
+    bench = [(10 * j + k, f(" ".join(t))) for j, t in enumerate(items) for k, f in enumerate((str, str.upper))]
+    want = {(i, j): d for i, doc in rows for j, t in bench if (d := brute.edit_distance(t.casefold().split(), doc.casefold().split())) <= int(len(t.split()) * 0.1)}
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.edits for r in matches(df, bench).collect()} == want and len(want) >= 18
+    assert {r.doc_id for r in decontaminate.decontaminated(df, bench).collect()} == {i for i, _ in rows} - {i for i, _ in want}
+    odd = np.frombuffer("É".encode() + b"\xff\xc3 A", np.uint8)
+    assert bytes(decontaminate.folded(odd, np.array([0, 2, len(odd)]))[0]) == "é".encode() + b"\xff\xc3 a"
+
+
 def test_long_items_and_places(spark):
     words = [f"v{k}" for k in range(150)]
     df = spark.createDataFrame([(1, "a b " + " ".join(words[60:]) + " c")], "doc_id long, text string")
