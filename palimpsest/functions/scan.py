@@ -82,5 +82,5 @@ def resolve_overlaps(spans: Column) -> Column:
 def scan(text: Column, scanners: Iterable[Scanner] = SCANNERS) -> Column:
     """array of (kind, value, start, end, confidence, reason) without overlaps, by start; empty for null."""
     scanners = tuple(scanners)
-    any_digit_or_sign = text.rlike("[0-9@]|://")  # every shape but CF needs one of these, and CF has digits
-    return F.when(text.isNotNull() & any_digit_or_sign, resolve_overlaps(candidates(text, scanners))).otherwise(nothing(SPAN))
+    digit_or_sign = text.rlike("[0-9@:]")  # each shape, those of EXTRA included, needs a digit, an @ or, as URL and IPV6 (which may be letters alone), a colon
+    return F.when(text.isNotNull() & digit_or_sign, resolve_overlaps(candidates(text, scanners))).otherwise(nothing(SPAN))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import patterns as P
 from palimpsest.functions.scan import candidates, matches, scan
+from palimpsest.plans.sanitise import Settings, sanitised
 
 CV = """Curriculum Vitae
 
@@ -52,6 +53,14 @@ def test_defined_cases(spark):
     assert [s[0] for s in spans(spark, "0000 0000 0000 0000")[0]] == ["CREDIT_CARD"]
 
 
+def test_addresses_of_letters_alone(spark):
+    texts = ["gateway dead:beef:cafe, adapter aa:bb:cc:dd:ee:ff", "Carlo Verdi\nFE:ED:BE:EF\n", "a:b", "no: colon shape"]
+    found = spans(spark, *texts)
+    assert [[s[:2] for s in f] for f in found] == [[("IP_ADDRESS", "dead:beef:cafe"), ("IP_ADDRESS", "aa:bb:cc:dd:ee:ff")], [("IP_ADDRESS", "FE:ED:BE:EF")], [], []]
+    out = sanitised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), Settings(salt="x")).orderBy("doc_id").collect()
+    assert not any(v in r.cleaned_text for r in out for v in ("dead:beef", "aa:bb", "FE:ED", "Carlo Verdi")) and out[2].cleaned_text == "a:b"
+
+
 def test_many_matches_in_one_text(spark):
     (found,) = spans(spark, "a@b.co " * 3000)
     assert len(found) == 3000 and found[-1][2] == 7 * 2999
