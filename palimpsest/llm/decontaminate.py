@@ -1,8 +1,9 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Each test item is cut into passages, and a passage with an error budget of k
-words is split into k + 1 pieces: text within k word edits of the passage holds at
-least one piece unchanged.  Piece hashes are probed at every word of every
+Each test item is one passage; a longer one is cut into passages, and into shorter
+ones that overlap, so that an excerpt across a cut is found.  A passage with an
+error budget of k words is split into k + 1 pieces: text within k word edits of the
+passage holds at least one piece unchanged.  Piece hashes are probed at every word of every
 document; around each hit Myers' bit-parallel algorithm gives the edit distance of
 the passage to the best-fitting stretch of the document.
 """
@@ -20,7 +21,7 @@ from ._text import _BASE, _BYTE, _SPACE, chunks, mix, span_hash, trim, words
 PASSAGE = 60
 #: Edits allowed per word of a passage.
 ERROR_RATE = 0.1
-#: Items with fewer words say too little to be told from coincidence.
+#: Items with fewer words say too little to be told from coincidence; the query and the pipeline take them all the same.
 MIN_WORDS = 8
 #: Bytes of test text that are broadcast at a time; a larger benchmark is matched in as many passes.
 BLOCK_BYTES = 16 << 20
@@ -85,11 +86,24 @@ def myers(pattern: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, at
 
 
+def _spans(n: int, size: int) -> list[tuple[int, int]]:
+    """(first, end) of the passages of an item of n words: the parts of at most size words that make it up and, if these are several, stretches of size // 2 that start size // 4 apart at most."""
+    parts = -(-n // size)
+    spans = [(n * c // parts, n * (c + 1) // parts) for c in range(parts)]
+    if parts > 1:
+        short = max(size // 2, 1)
+        steps = -(-(n - short) // max(size // 4, 1))
+        spans += [(a, a + short) for a in ((n - short) * c // steps for c in range(steps + 1))]
+    return list(dict.fromkeys(spans))
+
+
 class Passages:
     """The passages of a block of test items, with the sorted hashes of their pieces."""
 
     def __init__(self, ids: list[int], texts: pa.Array, rate: float = ERROR_RATE, size: int = PASSAGE, least: int = MIN_WORDS):
         self.item: list[int] = []
+        self.number: list[int] = []  # of the item in the block: ids may repeat
+        number = -1
         self.words: list[np.ndarray] = []
         self.budget: list[int] = []
         pieces: dict[int, list[tuple[int, int, int]]] = {}
@@ -99,14 +113,15 @@ class Passages:
                 w = h[wo[r] : wo[r + 1]]
                 if len(w) < least or ids[lo + r] is None:
                     continue
-                parts = -(-len(w) // size)
-                for c in range(parts):
-                    p = w[len(w) * c // parts : len(w) * (c + 1) // parts]
+                number += 1
+                for first, end in _spans(len(w), size):
+                    p = w[first:end]
                     k = int(len(p) * rate)
                     cuts = [len(p) * i // (k + 1) for i in range(k + 2)]
                     for a, b in zip(cuts, cuts[1:]):
                         pieces.setdefault(b - a, []).append((int(_rolled(p[a:b], b - a)[0]), len(self.item), a))
                     self.item.append(ids[lo + r])
+                    self.number.append(number)
                     self.words.append(p)
                     self.budget.append(k)
         self.pieces = {}
@@ -116,7 +131,7 @@ class Passages:
             self.pieces[n] = (key[order], np.array([r[1] for r in rows])[order], np.array([r[2] for r in rows])[order])
 
     def match(self, h: np.ndarray, wo: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(row, item, edits, first word, end word) of each passage found in a row, its best stretch."""
+        """(row, item, edits, first word, end word) of each item found in a row: its longest passage found, of these the one with the fewest edits, at its best stretch."""
         seen: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for n, (key, owner, offset) in self.pieces.items():
             roll = _rolled(h, n)
@@ -133,7 +148,7 @@ class Passages:
                     first = at - int(offset[a])
                     seen.setdefault((r, p), []).append((max(int(wo[r]), first - k), min(int(wo[r + 1]), first + len(self.words[p]) + k)))
                     a += 1
-        out = []
+        out: dict[tuple[int, int], tuple[tuple, tuple]] = {}
         for (r, p), spans in seen.items():
             spans.sort()
             merged = [list(spans[0])]
@@ -149,8 +164,10 @@ class Passages:
                     back, length = myers(self.words[p][::-1], h[a : a + end][::-1])
                     best = (d, a + end - length, a + end)
             if best:
-                out.append((r, self.item[p], best[0], int(best[1] - wo[r]), int(best[2] - wo[r])))
-        return out
+                rank = (-len(self.words[p]), best[0], best[1])
+                if (one := (r, self.number[p])) not in out or rank < out[one][0]:
+                    out[one] = rank, (r, self.item[p], best[0], int(best[1] - wo[r]), int(best[2] - wo[r]))
+        return [row for _, row in out.values()]
 
 
 def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int):
@@ -170,13 +187,15 @@ def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int):
 
 
 def matches(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE, passage: int = PASSAGE, min_words: int = MIN_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id, item_id, edits, first_word, end_word): the passages of test items in documents, each at its best stretch.
+    """(id, item_id, edits, first_word, end_word): the test items in documents, each by its longest passage found, at its best stretch.
 
     Words are runs of letters, digits and non-ASCII characters, without case by
     Unicode's full folding.  A passage of n words is found wherever a stretch of the document is
-    within int(n * rate) word edits.  Null and empty texts, items under min_words
-    words and items with a null id match nothing; repeated documents each give
-    their own rows; a document that holds a passage several times gives one row.
+    within int(n * rate) word edits, so one of fewer than 1 / rate words as it is.
+    Of an item of more than passage words, any run of 3 / 4 passage words is found,
+    as its parts and shorter stretches that overlap are passages.  Null and empty
+    texts, items under min_words words and items with a null id match nothing; repeated documents each give
+    their own rows; a document that holds an item several times gives one row.
     Extra columns are not looked at.
     """
     spark = docs.sparkSession
@@ -221,4 +240,4 @@ def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_i
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), min_words=1)

@@ -113,6 +113,19 @@ def test_long_items_and_places(spark):
     assert got[-1] == (42, 92, 0) and all(e - f >= 45 for f, e, _ in got)
 
 
+def test_excerpts_across_cuts_and_short_items(spark, tmp_path):
+    long = {n: [f"x{n}_{k}" for k in range(n)] for n in (61, 75, 120, 150, 301)}
+    cut = [(n, a, b) for n in long for size in (45, 60, 100) for a in range(0, n - size + 1, 7) for b in [a + size]]
+    docs = [f"before {' '.join(long[n][a:b])} after" for n, a, b in cut] + ["say what is the capital of Peru now", "What is the capital of", "one what of Peru is the capital"]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(n, " ".join(t)) for n, t in long.items()] + [(7, "What is the capital of Peru now?"), (1, ""), (2, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.op1_decontaminate(spark, str(tmp_path)).collect())
+    assert got == [(i, n) for i, (n, _, _) in enumerate(cut)] + [(len(cut), 7)]
+    kept = corpus_pipeline.benchmark(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in kept) == [len(cut) + 1, len(cut) + 2]
+
+
 def junk(i):
     return " ".join(f"{w}{'#$%&'[i % 4] * 3}" for w in texts("en", 1, i)[0].split())
 
