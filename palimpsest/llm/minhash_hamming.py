@@ -211,6 +211,11 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
 
     Two documents are linked if 100 * intersection >= percent * union of their
     distinct word shingles; component_id is the smallest id reachable over links.
+    In a component of near signatures of up to WHOLE * BLOCK distinct sets all pairs
+    are compared, in a larger one those that share an index key: all within the
+    signature distance of the plan.  A linked pair beyond that distance, which at
+    the threshold has a probability of MISSED at most, may therefore be linked in
+    a small component and not in a large one.
     A null, empty or blank text has an empty set and is linked with nothing.  Rows
     of one id count as one document, linked by any of their texts; a row with a
     null id is compared with nothing and comes back with a null component and
