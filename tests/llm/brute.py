@@ -26,11 +26,16 @@ def components(ids, links):
 
 
 def near_duplicates(rows, percent):
-    sets = {i: shingles(t) for i, t in rows}
-    ids = [i for i in sets if sets[i]]
-    links = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
-    root = components(sets, links)
-    return {i: (len(sets[i]), root[i]) for i in sets}
+    """[(id, set size, component)] of rows (id, text); rows of one id are linked by any of their texts."""
+    sets = [shingles(t) for _, t in rows]
+    own = {}
+    for (i, _), s in zip(rows, sets):
+        own.setdefault(s, set()).add(i)
+    distinct = [s for s in own if s]
+    links = [(min(own[s]), i) for s in distinct for i in own[s]]
+    links += [(min(own[a]), min(own[b])) for k, a in enumerate(distinct) for b in distinct[:k] if 100 * len(a & b) >= percent * len(a | b)]
+    root = components([i for i, _ in rows], links)
+    return [(i, len(s), root[i]) for (i, _), s in zip(rows, sets)]
 
 
 def edit_distance(pattern, text):

@@ -11,21 +11,72 @@ from palimpsest.llm.minhash_hamming import Plan
 from tests.llm import brute
 
 
+def answers(df, percent):
+    return sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash_hamming.near_duplicates(df, percent=percent).collect())
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_near_duplicates(spark, corpus, percent):
     df = spark.createDataFrame([(i, t, "clash") for i, t in corpus], "doc_id long, text string, component_id string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_hamming.near_duplicates(df, percent=percent).collect()}
-    assert got == brute.near_duplicates(corpus, percent)
+    assert answers(df, percent) == sorted(brute.near_duplicates(corpus, percent))
 
 
-def test_near_duplicates_under_each_key(spark, corpus, monkeypatch):
-    """A component too large for one group is confirmed under its index keys; blocks of two meet in pairs."""
-    monkeypatch.setattr(minhash_hamming, "WHOLE", 0)
+def test_near_duplicates_in_blocks_and_rounds(spark, corpus, monkeypatch):
+    """Blocks of two, and components too large for one task."""
     monkeypatch.setattr("palimpsest.llm._blocks.BLOCK", 2)
+    monkeypatch.setattr(minhash_hamming.components, "__defaults__", (0,))
     rows = corpus[:60]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_hamming.near_duplicates(df, percent=85).collect()}
-    assert got == brute.near_duplicates(rows, 85)
+    assert answers(df, 85) == sorted(brute.near_duplicates(rows, 85))
+
+
+def test_near_duplicates_of_repeated_ids(spark, corpus):
+    rows = [(i % 23, t) for i, t in corpus] + [(3, None), (99, ""), (99, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert answers(df, 85) == sorted(brute.near_duplicates(rows, 85))
+    a, b = (" ".join(f"{c}{k}" for k in range(50)) for c in "ab")
+    df = spark.createDataFrame([(3, b), (5, b), (5, a), (7, a)], "doc_id long, text string")
+    assert [r[2] for r in answers(df, 85)] == [3, 3, 3, 3]
+
+
+def test_deduplicated_keeps_a_text_of_each_group(spark, corpus):
+    a, b = (" ".join(f"{c}{k}" for k in range(50)) for c in "ab")
+    rows = [(3, b, 1), (5, b, 2), (5, a, 3), (7, a, 4), (5, a, 3), (5, a, 3), (None, a, 5), (8, None, 6), (8, None, 6), (9, " ", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id int")
+    got = sorted((tuple(r) for r in minhash_hamming.deduplicated(df).collect()), key=str)
+    assert got == sorted([(3, b, 1), (5, a, 3), (None, a, 5), (8, None, 6), (8, None, 6), (9, " ", 7)], key=str)
+    df = spark.createDataFrame(corpus, "doc_id long, text string")
+    root = brute.near_duplicates(corpus, 80)
+    assert {r.doc_id for r in minhash_hamming.deduplicated(df).collect()} == {i for i, _, c in root if i == c}
+    assert minhash_hamming.deduplicated(df.where("false")).collect() == []
+
+
+def test_a_large_group_of_near_copies(spark):
+    """5,000 near copies of one text, some only near some others, against all pairs by matrix products."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 3000, 80)
+    rows = []
+    for k in range(5000):
+        w = base.copy()
+        for at in rng.integers(0, 80, rng.choice([1, 1, 2, 3])):
+            w[at] = rng.integers(0, 3000)
+        rows.append((k, " ".join(f"w{x}" for x in w)))
+    sets = [brute.shingles(t) for _, t in rows]
+    number = {}
+    at = [(r, number.setdefault(s, len(number))) for r, ss in enumerate(sets) for s in ss]
+    uses = np.bincount([c for _, c in at])
+    shared = np.cumsum(uses > 1) - 1
+    m = np.zeros((len(rows), int(shared[-1]) + 1), np.float32)
+    for r, c in at:
+        if uses[c] > 1:
+            m[r, shared[c]] = 1
+    size = np.array([len(s) for s in sets])
+    both = m @ m.T
+    x, y = np.nonzero(100 * both >= 85 * (size[:, None] + size[None, :] - both))
+    root = brute.components(range(len(rows)), [(a, b) for a, b in zip(x.tolist(), y.tolist()) if a < b])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert answers(df, 85) == [(k, len(sets[k]), root[k]) for k in range(len(rows))]
+    assert len(set(root.values())) > 1
 
 
 def test_near_duplicates_defined_cases(spark):
@@ -49,9 +100,10 @@ def test_components(spark):
     links = [(0, k) for k in range(1, 40)] + [(k, k + 1) for k in range(100, 140)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(50)] + [(7, 7), (1, 0)]
     df = spark.createDataFrame([*links, (None, 3)], "a long, b long")
     ids = {i for link in links if link[0] != link[1] for i in link}
-    got = {r.id: r.component for r in components(df).collect()}
-    assert got == {i: c for i, c in brute.components(ids, links[:-2]).items()}
-    assert components(df.where("false")).collect() == []
+    for one_task in (0, 1_000_000):
+        got = {r.id: r.component for r in components(df, one_task).collect()}
+        assert got == {i: c for i, c in brute.components(ids, links[:-2]).items()}
+        assert components(df.where("false"), one_task).collect() == []
 
 
 def test_lines(spark):
@@ -86,7 +138,7 @@ def vectors():
 
 
 def test_vectors(spark, monkeypatch):
-    monkeypatch.setattr("palimpsest.llm._blocks.BLOCK", 16)
+    monkeypatch.setattr(cosine_dedup, "BLOCK", 16)
     rows = vectors()
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, kept int")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in cosine_dedup.near_duplicates(df).collect()}
@@ -97,6 +149,10 @@ def test_vectors(spark, monkeypatch):
 
 
 def test_vectors_defined_cases(spark):
+    for kind in ("float", "double"):
+        far = [(1, [1.0, 2.0, 3.0]), (2, [1e200, 2e200, 3e200]), (3, [1e-200, 2e-200, 3e-200])] if kind == "double" else [(1, [1.0, 2.0, 3.0]), (2, [1e38, 2e38, 3e38]), (3, [1e-38, 2e-38, 3e-38])]
+        df = spark.createDataFrame(far, f"vec_id long, embedding array<{kind}>")
+        assert sorted((r.vec_id, r.n_links, r.component_id) for r in cosine_dedup.near_duplicates(df).collect()) == [(1, 2, 1), (2, 2, 1), (3, 2, 1)]
     df = spark.createDataFrame([(None, [1.0, 0.0]), (5, [1.0, 0.0]), (5, [1.0, 0.0])], "vec_id long, embedding array<float>")
     got = sorted(((r.vec_id or 0, r.n_links, r.component_id) for r in cosine_dedup.near_duplicates(df).collect()), key=str)
     assert got == [(0, 0, None), (5, 1, 5), (5, 1, 5)]
