@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._blocks import in_blocks, spanning
+from ._blocks import in_blocks, shared_keys, spanning
 from ._store import drop, park, small
 from ._text import Cache, mix, stream
 from .components import components
 
 #: Probability with which a pair right at the threshold is missed.
 MISSED = 1e-5
+#: Vectors of a block.
+BLOCK = 512
 
 
 def plan_tables(n: int, cosine: float, missed: float = MISSED) -> tuple[int, int]:
@@ -52,14 +54,14 @@ def _codes(x: np.ndarray, bits: int, tables: int, first: int | None = None) -> n
     return (sign * weight).sum(-1, dtype=np.uint64)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array, kind: type) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1)
+    return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1).astype(np.float64)
 
 
-def _vectors(table: DataFrame, id: str, vector: str) -> DataFrame:
-    """(id, dim, vec): components as doubles; dim 0 and no vec for vectors that link with nothing."""
+def _vectors(table: DataFrame, id: str, vector: str, kind: type) -> DataFrame:
+    """(id, dim, vec): the components, as they are if they are floats, else as doubles divided by the largest, so that no norm over- or underflows; dim 0 and no vec for vectors that link with nothing."""
 
     def run(batches):
         for b in batches:
@@ -67,32 +69,39 @@ def _vectors(table: DataFrame, id: str, vector: str) -> DataFrame:
             lists = b["v"]
             for at in range(0, b.num_rows, 4096):
                 part = lists.slice(at, 4096)
-                flat = part.flatten().cast(pa.float64())
+                flat = part.flatten()
                 gap = np.concatenate(([0], np.cumsum(~flat.is_valid().to_numpy(zero_copy_only=False))))
-                x = flat.fill_null(0.0).to_numpy() + 0.0
+                x = flat.fill_null(0.0).to_numpy() + kind(0)
                 size = np.array([0 if n is None else n for n in part.value_lengths().to_pylist()], np.int64)
                 end = np.cumsum(size)
                 for a, e in zip((end - size).tolist(), end.tolist()):
                     v = x[a:e]
-                    ok = e > a and gap[e] == gap[a] and np.isfinite(v).all() and v.any() and np.isfinite(v @ v) and v @ v > 0
+                    ok = e > a and gap[e] == gap[a] and np.isfinite(v).all() and v.any()
+                    if ok and kind is np.float64:
+                        v = v / np.abs(v).max()
                     dim.append(e - a if ok else 0)
                     vec.append(v.tobytes() if ok else None)
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(dim, pa.int32()), pa.array(vec, pa.binary())], ["id", "dim", "vec"])
 
-    return table.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, "id long, dim int, vec binary")
+    of = "array<float>" if kind is np.float32 else "array<double>"
+    return table.select(F.col(id).cast("long").alias("id"), F.col(vector).cast(of).alias("v")).mapInArrow(run, "id long, dim int, vec binary")
 
 
 def near_duplicates(table: DataFrame, id: str = "vec_id", vector: str = "embedding", cosine: float = 0.95, missed: float = MISSED) -> DataFrame:
     """(id, n_links, component_id, kept) for every row of table.
 
-    Two vectors of one dimension are linked if their cosine is cosine or more;
-    n_links counts the other rows that a row is linked with, copies included, and
-    component_id is the smallest id reachable.  Vectors that are null, empty, zero
-    or hold null or non-finite components, and rows with a null id, link with
-    nothing and are kept.  Labels and other columns are not looked at.
+    Two vectors of one dimension are linked if their cosine, in double precision,
+    is cosine or more; n_links counts the other rows that a row is linked with,
+    copies included, and component_id is the smallest id reachable.  Vectors that
+    are null, empty, zero or hold null or non-finite components, and rows with a
+    null id, link with nothing and are kept; finite ones count however large or
+    small.  Labels and other columns are not looked at; an empty table gives no
+    rows.
     """
-    rows = park(_vectors(table, id, vector).withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(7), "vec")}), "vectors")
-    classes = park(rows.where("dim > 0 AND id IS NOT NULL").groupBy("dim", "h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("vec").alias("vec")), "classes")
+    kind = np.float32 if table.schema[vector].dataType.simpleString() == "array<float>" else np.float64
+    set_of = ["dim", "h1", "h2"]
+    rows = park(_vectors(table, id, vector, kind).withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(7), "vec")}), "vectors")
+    classes = park(rows.where("dim > 0 AND id IS NOT NULL").groupBy(*set_of).agg(F.count("*").alias("copies"), F.min("id").alias("doc"), F.first("vec").alias("vec")).withColumn("id", F.monotonically_increasing_id()), "classes")
     bits, tables = plan_tables(classes.count(), cosine, missed)
 
     def keys(batches):
@@ -103,16 +112,19 @@ def near_duplicates(table: DataFrame, id: str = "vec_id", vector: str = "embeddi
                 part = b.filter(pa.array(dims == d))
                 for at in range(0, part.num_rows, 1024):
                     p = part.slice(at, 1024)
-                    code = mix(mix(_codes(_matrix(p["vec"]), bits, tables) ^ salt) + np.uint64(d))
-                    yield pa.RecordBatch.from_arrays([pa.array(code.ravel().view(np.int64)), pa.array(np.tile(np.arange(tables, dtype=np.int32), p.num_rows)), pa.array(np.repeat(p["id"].to_numpy(), tables))], ["key", "t", "id"])
+                    code = mix(mix(_codes(_matrix(p["vec"], kind), bits, tables) ^ salt) + np.uint64(d))
+                    yield pa.RecordBatch.from_arrays([pa.array(code.ravel().view(np.int64)), pa.array(np.repeat(p["id"].to_numpy(), tables)), pa.array(np.tile(np.arange(tables, dtype=np.int32), p.num_rows))], ["key", "id", "t"])
 
-    index = classes.select("id", "dim", "vec").mapInArrow(keys, "key long, t int, id long")
-    sizes = park(index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    entries = index.join(small(sizes.select("key"), sizes.count()), "key", "left_semi").join(classes.select("id", "copies", "vec"), "id").select("key", "t", "id", "copies", "vec")
+    index = park(shared_keys(classes.select("id", "dim", "vec").mapInArrow(keys, "key long, id long, t int")), "index")
+    # of buckets with the same members one is enough: the first, as that is where their pairs count
+    members = [F.sum(F.xxhash64(F.lit(k), "id").cast("decimal(20,0)")).alias(f"m{k}") for k in (1, 2)]
+    buckets = index.groupBy("key").agg(F.count("*").alias("rest"), F.min("t").alias("t"), *members).where("rest > 1")
+    sizes = park(buckets.groupBy("rest", "m1", "m2").agg(F.min(F.struct("t", "key")).alias("first")).select("first.key", "rest", F.lit(0).cast("long").alias("big")), "buckets")
+    entries = index.join(small(sizes.select("key")), "key", "left_semi").join(classes.select("id", "copies", "vec"), "id").select("key", "t", "id", "copies", "vec")
 
     def compare(g: pa.Table, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch | None:
         ids, copies, t = g["id"].to_numpy(), g["copies"].to_numpy(), g["t"][0].as_py()
-        x = _matrix(g["vec"])
+        x = _matrix(g["vec"], kind)
         norm = np.sqrt(np.einsum("ij,ij->i", x, x))
         cos = (x[left] @ x[right].T) / norm[left][:, None] / norm[right][None, :]
         i, j = np.nonzero(cos >= cosine)
@@ -125,9 +137,9 @@ def near_duplicates(table: DataFrame, id: str = "vec_id", vector: str = "embeddi
         own = np.unique(np.concatenate([i, j]))
         code = _codes(x[own], bits, tables, t + 1)
         same = np.zeros(len(i), bool)
-        for at in range(0, len(i), 1 << 16):
-            a, b = (np.searchsorted(own, k[at : at + (1 << 16)]) for k in (i, j))
-            same[at : at + (1 << 16)] = (code[a, t] == code[b, t]) & ~(code[a, :t] == code[b, :t]).any(1)
+        for at in range(0, len(i), 1 << 14):
+            a, b = (np.searchsorted(own, k[at : at + (1 << 14)]) for k in (i, j))
+            same[at : at + (1 << 14)] = (code[a, t] == code[b, t]) & ~(code[a, :t] == code[b, :t]).any(1)
         i, j = i[same], j[same]
         if not len(i):
             return None
@@ -138,16 +150,18 @@ def near_duplicates(table: DataFrame, id: str = "vec_id", vector: str = "embeddi
         own = np.flatnonzero(links)
         return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(links[own]), pa.array(root[own])], ["id", "links", "root"])
 
-    found = park(in_blocks(entries, sizes, compare, "id long, links long, root long"), "links")
-    comp = park(components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))), "components")
+    found = park(in_blocks(entries, sizes, compare, "id long, links long, root long", block=BLOCK), "links")
+    comp = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    # a component is called by the smallest id of its rows
+    named = classes.select("id", "doc", *set_of, "copies").join(small(comp), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = park(named.join(small(comp.select("component").distinct()), "component", "left_semi").groupBy("component").agg(F.min("doc").alias("least")), "least")
     linked = found.groupBy("id").agg(F.sum("links").alias("links"))
-    done = classes.join(linked, "id", "left").join(small(comp), "id", "left")
-    done = park(done.select("dim", "h1", "h2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component")), "done")
-    hash = ["dim", "h1", "h2"]
-    out = rows.select("id", *hash).join(done, hash, "left")
+    done = named.join(small(least), "component", "left").join(linked, "id", "left")
+    done = park(done.select(*set_of, (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "doc").alias("component")), "done")
+    out = rows.select("id", *set_of).join(done, set_of, "left")
     alone = F.col("dim").eqNullSafe(0) | F.col("id").isNull()
     out = out.select(F.col("id").alias(id), F.when(alone, F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.when(alone, F.col("id")).otherwise(F.coalesce("component", "id")).alias("component_id"))
-    for p in (classes, sizes, found, comp):
+    for p in (classes, index, sizes, found, comp, least):
         drop(p)
     return out.withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(True)))
 
