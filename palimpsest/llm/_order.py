@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._store import park_path
+from ._store import park_path, small, unused
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "pos") -> tuple[DataFrame, str]:
@@ -21,15 +23,22 @@ def numbered(df: DataFrame, order: list[Column], name: str = "pos") -> tuple[Dat
 
 
 def positions(spark: SparkSession, path: str, schema: StructType, name: str = "pos") -> DataFrame:
-    """A table that Spark wrote, with the position of each row in it: parts in turn, rows as they stand."""
+    """A table that Spark wrote, with the position of each row in it: parts in turn, a part's files in turn, rows as they stand."""
     kept = spark.read.schema(schema).parquet(path)
-    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
-    rows = kept.select("*", part.alias("__part"), F.col("_metadata.row_index").alias("__row"))
-    start, total = [], 0
-    for k, n in sorted((r[0], r[1]) for r in rows.groupBy("__part").count().collect()):  # a row for each file
-        start.append((k, total))
+    file, row, start = (unused(kept, n) for n in ("file", "row", "start"))
+    rows = kept.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(row))
+    files = [(r[0], r[1]) for r in rows.groupBy(file).count().collect()]  # a row for each file
+    starts, total = [], 0
+    for f, n in sorted(files, key=lambda f: _turn(f[0])):
+        starts.append((f, total))
         total += n
-    offsets = F.broadcast(spark.createDataFrame(start or [(-1, 0)], "__part int, __start long"))
-    out = rows.join(offsets, "__part").withColumn(name, F.col("__start") + F.col("__row")).drop("__part", "__row", "__start")
+    offsets = small(spark.createDataFrame(starts, f"{file} string, {start} long"), len(starts))
+    out = rows.join(offsets, file).withColumn(name, F.col(start) + F.col(row)).drop(file, row, start)
     out._rows = total
     return out
+
+
+def _turn(file: str) -> tuple[int, int]:
+    """Place of a file among those of its table: its part and, a part having several where spark.sql.files.maxRecordsPerFile is set, its number in it."""
+    part, number = re.fullmatch(r"part-(\d+)-.*-c(\d+)\D.*", file).groups()
+    return int(part), int(number)

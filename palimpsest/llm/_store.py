@@ -43,11 +43,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def park_path(df: DataFrame, name: str) -> str:
+def park_path(df: DataFrame, name: str, **options: str) -> str:
     """Write df to the shared folder; its path."""
     path = new_path(df.sparkSession, name)
     _live.append(path)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return path
 
 

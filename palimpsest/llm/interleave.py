@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._order import numbered
-from ._store import drop, drop_path, park, small
+from ._store import drop, drop_path, park, small, unused
 
 
 def interleave(docs: DataFrame, shards: int = 16, source: str = "source", seed: int = 17) -> DataFrame:
@@ -22,22 +22,23 @@ def interleave(docs: DataFrame, shards: int = 16, source: str = "source", seed:
     alone, not on partitions; rows equal in all columns may change places.  Null is
     a source of its own.  Nulls and repeated rows count like all others; an empty
     table gives no rows, fewer rows than shards leave shards empty.  Columns named
-    shard and slot are replaced.
+    shard and slot are replaced, all others stay whatever their names.
     """
     docs = docs.drop("shard", "slot")
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.select(*cols, F.xxhash64(F.lit(seed), F.col(source).cast("string")).alias("__source"), F.xxhash64(F.lit(seed), *cols).alias("__key"))
-    tie = F.monotonically_increasing_id()  # equal rows needn't meet in one task
-    ranked, first = numbered(keyed.withColumn("__tie", tie), [F.col("__source"), F.col(source), F.col("__key"), F.col("__tie")], "__pos")
-    bounds = park(ranked.groupBy("__source", F.col(source).alias("__name")).agg(F.min("__pos").alias("__lo"), F.count("*").alias("__n")), "sources")
-    n = bounds.agg(F.sum("__n")).first()[0] or 0
-    b = small(bounds.withColumnRenamed("__source", "__s"))
-    mixed = ranked.join(b, (F.col("__source") == F.col("__s")) & F.col(source).eqNullSafe(F.col("__name")))
-    rank = F.col("__pos") - F.col("__lo")
-    mixed = mixed.select(*cols, ((2 * rank + 1) / (2 * F.col("__n"))).alias("__share"), "__source", "__pos")
-    placed, second = numbered(mixed, [F.col("__share"), F.col("__source"), F.col("__pos")], "__at")
-    out = placed.withColumn("shard", F.expr(f"int((__at * {shards}) div {max(n, 1)})"))
-    out = out.withColumn("slot", F.expr(f"__at - ((shard * {max(n, 1)}L + {shards - 1}) div {shards})"))
+    group, key, tie, pos, share, at, name, lo, n = (unused(docs, c) for c in ("source", "key", "tie", "pos", "share", "at", "name", "lo", "n"))
+    own = F.col(f"`{source}`")
+    keyed = docs.select(*cols, F.xxhash64(F.lit(seed), own.cast("string")).alias(group), F.xxhash64(F.lit(seed), *cols).alias(key))
+    keyed = keyed.withColumn(tie, F.monotonically_increasing_id())  # equal rows needn't meet in one task
+    ranked, first = numbered(keyed, [F.col(group), own, F.col(key), F.col(tie)], pos)
+    bounds = park(ranked.groupBy(group, own.alias(name)).agg(F.min(pos).alias(lo), F.count("*").alias(n)), "sources")
+    total = bounds.agg(F.sum(n)).first()[0] or 0
+    other = group + "_"
+    mixed = ranked.join(small(bounds.withColumnRenamed(group, other)), (F.col(group) == F.col(other)) & own.eqNullSafe(F.col(name)))
+    mixed = mixed.select(*cols, ((2 * (F.col(pos) - F.col(lo)) + 1) / (2 * F.col(n))).alias(share), group, pos)
+    placed, _ = numbered(mixed, [F.col(share), F.col(group), F.col(pos)], at)
+    out = placed.withColumn("shard", F.expr(f"int(({at} * {shards}) div {max(total, 1)})"))
+    out = out.withColumn("slot", F.expr(f"{at} - ((shard * {max(total, 1)}L + {shards - 1}) div {shards})"))
     drop(bounds)
     drop_path(docs.sparkSession, first)
     return out.select(*cols, "shard", "slot")
