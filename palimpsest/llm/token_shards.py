@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._order import positions
-from ._store import new_path
+from ._store import park_path
 from ._text import mix
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -32,6 +32,8 @@ END_OF_TEXT = 50256
 SEQUENCE = 512
 PER_SHARD = 4096
 KEY = 20240229
+#: What stands in a record for a null id.
+NO_ID = -(1 << 63)
 ROUNDS = 6
 
 
@@ -111,15 +113,14 @@ def materialise(docs: DataFrame, id: str = "doc_id", text: str = "text", key: in
 
     The place of a sequence in the corpus is by id, then text, then part, so slots
     depend on the rows and the key only, not on partitions.  Null ids come first
-    and are written as -1; repeated rows each have their sequences; no rows give
+    and are written as NO_ID; repeated rows each have their sequences; no rows give
     no records.  Other columns are not looked at.
     """
     spark = docs.sparkSession
     order = [F.col("id"), F.xxhash64("text")]
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     table = sequences(rows.repartitionByRange(*order).sortWithinPartitions(*order), "id", "text", length=length, **tokenizer)
-    path = new_path(spark, "tokens")
-    table.write.option("compression", "zstd").parquet(path)
+    path = park_path(table, "tokens", compression="zstd")
     placed = positions(spark, path, table.schema, "place")
     total, width = placed._rows, _width(tokenizer.get("ranks") or load_ranks(), tokenizer.get("end", END_OF_TEXT))
 
@@ -129,22 +130,54 @@ def materialise(docs: DataFrame, id: str = "doc_id", text: str = "text", key: in
 
     dealt = placed.withColumn("slot", slot("place")).withColumn("shard", F.expr(f"int(slot div {per_shard})"))
     dealt = dealt.repartitionByRange("shard").sortWithinPartitions("shard", "slot")
-    head = F.concat(_little(F.coalesce("id", F.lit(-1)), 8), _little(F.col("part"), 4), _little(F.col("n"), 4))
+    head = F.concat(_little(F.coalesce("id", F.lit(NO_ID)), 8), _little(F.col("part"), 4), _little(F.col("n"), 4))
     record = F.concat(head, F.rpad("ids", F.lit(width * length), F.lit(b"\x00")), F.lit(b"\n"))
-    return dealt.select(F.col("id").alias(id), "part", "n", "slot", "shard", (F.expr(f"slot % {per_shard}") * (17 + width * length)).alias("offset"), record.alias("record"))
+    out = dealt.select(F.col("id").alias(id), "part", "n", "slot", "shard", (F.expr(f"slot % {per_shard}") * (17 + width * length)).alias("offset"), record.alias("record"))
+    out._records = total
+    return out
 
 
-def write_shards(docs: DataFrame, path: str, key: int = KEY, per_shard: int = PER_SHARD, length: int = SEQUENCE, **how) -> dict[str, int]:
+def write_shards(docs: DataFrame, path: str, key: int = KEY, per_shard: int = PER_SHARD, length: int = SEQUENCE, **how) -> dict[str, int | str]:
     """Write one file for each shard under path/shard=k, and path/manifest; what the manifest says."""
     spark = docs.sparkSession
     rows = materialise(docs, key=key, per_shard=per_shard, length=length, **how)
     body = F.expr("substring(record, 1, length(record) - 1)").cast("string")  # the writer ends it with the line feed
-    rows.select("shard", body.alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
-    said = {"per_shard": per_shard, "sequence": length, "key": key}
+    rows.select("shard", body.alias("value")).write.partitionBy("shard").option("lineSep", "\n").option("maxRecordsPerFile", 0).text(path)
+    ranks, end = how.get("ranks") or load_ranks(), how.get("end", END_OF_TEXT)
+    said = {"records": rows._records, "per_shard": per_shard, "sequence": length, "width": _width(ranks, end), "vocabulary": len(ranks), "end": end, "key": key}
     spark.createDataFrame([(json.dumps(said),)], "value string").coalesce(1).write.text(f"{path}/manifest")
     return said
 
 
+def read_shards(spark: SparkSession, path: str, first: int = 0, end: int | None = None) -> DataFrame:
+    """(slot, id, part, n, ids) of the slots from first to end (not included; default: all) of what write_shards wrote.
+
+    Only shards that hold such slots are opened, and records are found by their
+    place, so a reader resumes at any slot.  ids are as many whole numbers as the
+    sequence has tokens; a null id comes back as null.
+    """
+    said = json.loads(spark.read.text(f"{path}/manifest").first()[0])
+    end = said["records"] if end is None else min(end, said["records"])
+    per, kind, stride = said["per_shard"], np.dtype(f"<u{said['width']}"), 17 + said["width"] * said["sequence"]
+
+    def run(batches):
+        for b in batches:
+            for shard, content in zip(b["shard"].to_pylist(), b["content"]):
+                raw = np.frombuffer(content.as_buffer(), np.uint8).reshape(-1, stride)
+                lo, hi = max(first - shard * per, 0), min(end - shard * per, len(raw))
+                for at in range(lo, hi, 1024):
+                    rows = raw[at : min(at + 1024, hi)]
+                    ids, part, n = (np.ascontiguousarray(rows[:, a:e]).view(t)[:, 0] for a, e, t in ((0, 8, "<i8"), (8, 12, "<i4"), (12, 16, "<i4")))
+                    tokens = np.ascontiguousarray(rows[:, 16:-1]).view(kind).astype(np.int32)
+                    used = np.arange(said["sequence"]) < n[:, None]
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(tokens[used]))
+                    yield pa.RecordBatch.from_arrays([pa.array(shard * per + at + np.arange(len(rows))), pa.array(ids, mask=ids == NO_ID), pa.array(part), pa.array(n), lists], ["slot", "id", "part", "n", "ids"])
+
+    files = spark.read.format("binaryFile").option("basePath", path).load(f"{path}/shard=*")
+    files = files.where(F.col("shard").between(first // per, (end - 1) // per)).select(F.col("shard").cast("long").alias("shard"), "content")
+    return files.mapInArrow(run, "slot long, id long, part int, n int, ids array<int>")
+
+
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return materialise(docs).select("doc_id", "part", F.col("n").alias("n_tokens"), "slot", "shard", "offset", F.crc32("record").alias("record_crc32"))

@@ -90,7 +90,8 @@ def test_shards_on_disk(spark, tmp_path):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     path = str(tmp_path / "shards")
     said = token_shards.write_shards(df, path, per_shard=16, length=64)
-    assert said == {"per_shard": 16, "sequence": 64, "key": token_shards.KEY}
+    ranks = token_shards.load_ranks()
+    assert said["records"] > 32 and said == {"records": said["records"], "per_shard": 16, "sequence": 64, "width": 2, "vocabulary": len(ranks), "end": token_shards.END_OF_TEXT, "key": token_shards.KEY}
     table = {(r.doc_id, r.part, r.slot): r for r in token_shards.materialise(df, per_shard=16, length=64).collect()}
     other = {(r.doc_id, r.part, r.slot) for r in token_shards.materialise(df.repartition(7), per_shard=16, length=64).collect()}
     assert set(table) == other and sorted(k[2] for k in table) == list(range(len(table)))
@@ -102,15 +103,18 @@ def test_shards_on_disk(spark, tmp_path):
             record = raw[j * stride : (j + 1) * stride]
             i, part, n = struct.unpack("<qii", record[:16])
             ids = np.frombuffer(record[16:-1], np.uint16)
-            r = table[(None if i == -1 else i, part, k * 16 + j)]
+            r = table[(None if i == token_shards.NO_ID else i, part, k * 16 + j)]
             assert bytes(r.record) == record and r.offset == j * stride and record[-1:] == b"\n" and not ids[n:].any()
             seen.setdefault((i, k * 16 + j if i == 9 else 0), {})[part] = ids[:n].tolist()
     enc = tiktoken.Encoding("t", pat_str=token_shards.PATTERN, mergeable_ranks=token_shards.load_ranks(), special_tokens={})
     for i, t in rows:
-        if t and i not in (None, 9):
+        if t and i not in (None, 9, token_shards.NO_ID):
             parts = seen[(i, 0)]
             tokens = [x for p in sorted(parts) for x in parts[p]]
             assert tokens[-1] == token_shards.END_OF_TEXT and enc.decode(tokens[:-1]) == t
+    read = {r.slot: (r.id, r.part, list(r.ids)) for r in token_shards.read_shards(spark, path).collect()}
+    assert {s: k[:2] for s, k in read.items()} == {k[2]: k[:2] for k in table} and len(read) == said["records"]
+    assert [(r.slot, r.id, r.part, list(r.ids)) for r in token_shards.read_shards(spark, path, 13, 37).orderBy("slot").collect()] == [(s, *read[s]) for s in range(13, 37)]
     assert sum(1 for k in seen if k[0] == 9) == 2 and not any(k[0] in (0, 1) for k in seen)
     assert token_shards.materialise(df.where("false")).collect() == []
 
@@ -147,3 +151,81 @@ def test_query_digest(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: (r["size"], r.text_crc32, r.law, r.grown_shard) for r in interleave.op9_interleave(spark, str(tmp_path)).collect()}
     assert got == {1: (3, zlib.crc32("é".encode()), "rows", None), 2: (1, 0, "rows", None), 3: (1, 0, "rows", None)}
+
+
+@pytest.fixture
+def many_files(spark):
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 10)
+    yield
+    spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
+def test_places_with_several_files_a_part(spark, many_files, tmp_path):
+    df = spark.createDataFrame([(i, f"t{i} " * (i % 40), f"s{i % 3}") for i in range(100)], "doc_id long, text string, source string")
+    shards = {}
+    for r in interleave.interleave(df, shards=4).collect():
+        shards.setdefault(r.shard, []).append(r.slot)
+    assert {k: sorted(v) for k, v in shards.items()} == {k: list(range(25)) for k in range(4)}
+    slots = [r.slot for r in token_shards.materialise(df, per_shard=16, length=8).collect()]
+    assert sorted(slots) == list(range(len(slots))) and len(slots) > 60
+    token_shards.write_shards(df, str(tmp_path / "s"), per_shard=16, length=8)
+    assert sorted(r.slot for r in token_shards.read_shards(spark, str(tmp_path / "s")).collect()) == sorted(slots)
+
+
+def plain_feistel(x, n, key):
+    """One number, in Python's own integers."""
+
+    def mix(v):
+        v = (v + 0x9E3779B97F4A7C15) % 2**64
+        v = (v ^ v >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        v = (v ^ v >> 27) * 0x94D049BB133111EB % 2**64
+        return v ^ v >> 31
+
+    bits = 1
+    while 4**bits < n:
+        bits += 1
+    while True:
+        left, right = divmod(x, 2**bits)
+        for k in range(token_shards.ROUNDS):
+            left, right = right, left ^ mix(right ^ mix(k + key)) % 2**bits
+        x = left * 2**bits + right
+        if x < n:
+            return x
+
+
+def test_slots_against_a_plain_placement(spark):
+    rows = [(i % 50, " ".join(f"w{k}" for k in range(i % 30))) for i in range(90)] + [(None, "x y")]
+    enc = tiktoken.Encoding("t", pat_str=token_shards.PATTERN, mergeable_ranks=token_shards.load_ranks(), special_tokens={})
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = {(r.doc_id, r.text): r.h for r in df.select("*", F.xxhash64("text").alias("h")).collect()}
+    order = sorted((r for r in rows if r[1]), key=lambda r: (r[0] is not None, r[0] or 0, hashed[r]))
+    parts = [(i, p) for i, t in order for p in range(-(-(len(enc.encode_ordinary(t)) + 1) // 8))]
+    want = sorted((plain_feistel(place, len(parts), 5), i, p) for place, (i, p) in enumerate(parts))
+    got = sorted((r.slot, r.doc_id, r.part) for r in token_shards.materialise(df, key=5, length=8).collect())
+    assert got == want
+
+
+def test_interleaving_against_a_plain_placement(spark):
+    rows = [(i, f"s{i % 7 if i % 2 else 0}") for i in range(300)] + [(300 + i, None) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    keyed = df.select("*", F.xxhash64(F.lit(17), "source").alias("g"), F.xxhash64(F.lit(17), "doc_id", "source").alias("k")).collect()
+    ranked = sorted(keyed, key=lambda r: (r.g, r.k))
+    place = {r.doc_id: p for p, r in enumerate(ranked)}
+    groups = {}
+    for r in ranked:
+        groups.setdefault(r.source, []).append(r)
+    share = [((2 * q + 1) / (2 * len(g)), r.g, place[r.doc_id], r.doc_id) for g in groups.values() for q, r in enumerate(g)]
+    n = len(rows)
+    want, used = [], {}
+    for at, (*_, i) in enumerate(sorted(share)):
+        shard = at * 6 // n
+        used[shard] = used.get(shard, -1) + 1
+        want.append((i, shard, used[shard]))
+    assert sorted((r.doc_id, r.shard, r.slot) for r in interleave.interleave(df, shards=6).collect()) == sorted(want)
+
+
+def test_columns_with_clashing_names(spark):
+    names = ["__pos", "__source", "__key", "__tie", "__share", "__at", "__name", "__lo", "__n", "__part", "__file", "__row", "__start"]
+    df = spark.createDataFrame([(i, f"s{i % 3}", *[i] * len(names)) for i in range(20)], "doc_id long, source string, " + ", ".join(f"{n} int" for n in names))
+    out = interleave.interleave(df, shards=4)
+    assert out.columns == [*df.columns, "shard", "slot"] and all(r[n] == r.doc_id for r in out.collect() for n in names)
