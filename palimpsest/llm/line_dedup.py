@@ -7,10 +7,10 @@ exact distinct count.  Lines found on enough sites are cut from every document.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import drop, park, small
+from ._store import drop, park, small, unused
 
 #: A line on this many distinct sites is boilerplate.
 MIN_SITES = 8
@@ -22,16 +22,23 @@ LG_K = 12
 BAND = 0.2
 
 
-def _rows(docs: DataFrame, text: str) -> DataFrame:
-    """docs with k1 and k2, a 128-bit hash of each whole row; equal rows share it, and lose the same lines."""
-    cols = [F.col(f"`{c}`") for c in docs.columns if c != text and docs.schema[c].dataType.simpleString()[:3] != "map"]
-    return docs.withColumns({"__k1": F.xxhash64(F.col(text), *cols), "__k2": F.xxhash64(F.lit(7), *cols, F.col(text))})
+def _lines(rows: DataFrame, keys: tuple[str, str], text: str, site: str, min_chars: int) -> DataFrame:
+    line = rows.select(F.col(keys[0]).alias("k1"), F.col(keys[1]).alias("k2"), F.col(f"`{site}`").cast("string").alias("site"), F.posexplode(F.split(F.col(f"`{text}`"), "\n", -1)).alias("pos", "line"))
+    key = F.expr(r"trim(BOTH ' \t\r' FROM line)")
+    return line.where(F.length(key) >= min_chars).select("k1", "k2", "site", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"))
 
 
-def _lines(rows: DataFrame, text: str, site: str, min_chars: int) -> DataFrame:
-    line = rows.select("__k1", "__k2", F.col(site).cast("string").alias("site"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
-    key = F.expr(r"trim(BOTH ' \t\r' FROM line)")
-    return line.where(F.length(key) >= min_chars).select("__k1", "__k2", "site", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"))
+def _without(text: Column, cut: Column) -> Column:
+    """text without the lines at the positions in cut: the stretches between them, so the work grows with the lines alone."""
+    lines = F.split(text, "\n", -1)
+    ends = F.concat(F.array(F.lit(-1)), F.array_sort(cut), F.array(F.size(lines)))
+    both = F.array(F.struct(lines.alias("lines"), ends.alias("ends")))  # worked out once: a lambda would do it again at each step
+
+    def joined(b: Column) -> Column:
+        between = lambda j: F.slice(b["lines"], b["ends"][j - 1] + 2, b["ends"][j] - b["ends"][j - 1] - 1)
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(1), F.size(b["ends"]) - 1), between)), "\n")
+
+    return F.get(F.transform(both, joined), F.lit(0))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, band: float = BAND) -> DataFrame:
@@ -61,15 +68,21 @@ def remove_boilerplate(docs: DataFrame, text: str = "text", site: str = "source"
     without them.  A null text stays null, a text of nothing but boilerplate
     becomes empty; texts without boilerplate stay byte for byte.  Rows with a null
     site lose lines but vouch for none.  Repeated rows are all kept and treated
-    alike.  An empty table stays empty; a column named n_removed is replaced.
+    alike.  An empty table stays empty; a column named n_removed is replaced, all
+    others stay whatever their names.  min_chars 1 counts every line.
     """
-    rows = _rows(docs, text)
-    lines = _lines(rows, text, site, min_chars)
+    docs = docs.drop("n_removed")
+    k1, k2, cut = (unused(docs, c) for c in ("k1", "k2", "cut"))
+    own = F.col(f"`{text}`")
+    cols = [F.col(f"`{c}`") for c in docs.columns if c != text and docs.schema[c].dataType.simpleString()[:3] != "map"]
+    # a 128-bit hash of the whole row; equal rows share it, and lose the same lines
+    rows = docs.withColumns({k1: F.xxhash64(own, *cols), k2: F.xxhash64(F.lit(7), *cols, own)})
+    lines = _lines(rows, (k1, k2), text, site, min_chars)
     found = boilerplate(lines, min_sites)
-    cut = lines.join(small(found), ["h1", "h2"], "left_semi").groupBy("__k1", "__k2").agg(F.collect_set("pos").alias("__cut"))
-    kept = F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.array_contains("__cut", i))
-    out = rows.join(cut, ["__k1", "__k2"], "left")
-    return out.withColumns({text: F.when(F.col("__cut").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")), "n_removed": F.coalesce(F.size("__cut"), F.lit(0))}).select(*[f"`{c}`" for c in docs.columns if c != "n_removed"], "n_removed")
+    gone = lines.join(small(found), ["h1", "h2"], "left_semi").groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.collect_set("pos").alias(cut))
+    out = rows.join(gone, [k1, k2], "left")
+    out = out.withColumns({text: F.when(F.col(cut).isNull(), own).otherwise(_without(own, F.col(cut))), "n_removed": F.coalesce(F.size(cut), F.lit(0))})
+    return out.select(*[f"`{c}`" for c in docs.columns], "n_removed")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

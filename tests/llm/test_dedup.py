@@ -118,6 +118,15 @@ def test_lines(spark):
     assert line_dedup.remove_boilerplate(df.where("false")).collect() == []
 
 
+def test_lines_with_clashing_columns_and_short_ones(spark):
+    rows = [(k, "x\nLes.\n\nend", f"s{k}", "own", k) for k in range(9)] + [(99, "\n".join(f"line {k}\nLes." for k in range(30_000)), "s1", "own", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __cut string, __K1 long")
+    assert all(r.n_removed == 0 and r["__cut"] == "own" for r in line_dedup.remove_boilerplate(df).collect())
+    got = {r.doc_id: r for r in line_dedup.remove_boilerplate(df, min_chars=1).collect()}
+    assert all((got[k].text, got[k].n_removed, got[k]["__cut"], got[k]["__K1"]) == ("", 3, "own", k) for k in range(9))
+    assert got[99].text == "\n".join(f"line {k}" for k in range(30_000)) and got[99].n_removed == 30_000
+
+
 def test_line_counts_are_exact_near_the_threshold(spark):
     rows = [(h, 0, f"s{k}") for h in range(200) for k in range(100 - h % 40 + 20)]
     df = spark.createDataFrame(rows, "h1 long, h2 long, site string")
