@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._store import unused
 from ._text import CHUNK, chunks, trim
 
 # Families of ISO 639-1 codes; a code that isn't listed is a family of its own.
@@ -30,6 +31,8 @@ FAMILIES = {
 DIM = 4096
 #: Labelled rows of each language that the machines are fitted on, about.
 ROWS_PER_LANGUAGE = 800
+#: Languages that are learnt at most, the most frequent ones: labels may be dirty without end.
+LANGUAGES = 256
 
 
 def _letter_classes() -> np.ndarray:
@@ -152,19 +155,20 @@ class LanguageModel:
         return lang, score
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: Column | None = None, rows_per_language: int = ROWS_PER_LANGUAGE, families: Mapping[str, str] = FAMILIES) -> LanguageModel:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: Column | None = None, rows_per_language: int = ROWS_PER_LANGUAGE, languages: int = LANGUAGES, families: Mapping[str, str] = FAMILIES) -> LanguageModel:
     """Fit on about rows_per_language rows of each language, all if there are fewer.
 
     The sample is the rows whose hash of key (default: of the whole row) falls
     under the language's share, so it is the same for any partitioning.  Rows with
-    a null text or language are left out; without rows the model answers ``und``.
+    a null text or language, and those of other languages than the languages most
+    frequent ones, are left out; without rows the model answers ``und``.
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    have = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}  # a row for each language
+    have = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(languages).collect()}
     if not have:
         return LanguageModel(Machines([]), {})
     key = F.xxhash64(*[F.col(c) for c in rows.columns]) if key is None else F.xxhash64(key)
-    share = F.element_at(F.create_map(*[F.lit(v) for k, n in have.items() for v in (k, min(1.0, rows_per_language / n))]), F.col(lang))
+    share = F.try_element_at(F.create_map(*[F.lit(v) for k, n in have.items() for v in (k, min(1.0, rows_per_language / n))]), F.col(lang))
     sample = rows.where(F.pmod(key, F.lit(1 << 30)) < share * (1 << 30)).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.pmod(key, F.lit(1 << 30)).alias("k"))
 
     def vectors(batches):
@@ -199,7 +203,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
 
     letter = F.col(text).isNotNull() & F.col(text).rlike(r"\p{L}")
     found = F.when(letter, predict(F.col(text)))
-    return docs.withColumn("__lang", found).withColumns({"lang_pred": F.coalesce(F.col("__lang.lang_pred"), F.lit("und")), "score": F.coalesce(F.col("__lang.score"), F.lit(0.0))}).drop("__lang")
+    both = unused(docs, "found")
+    return docs.withColumn(both, found).withColumns({"lang_pred": F.coalesce(F.col(both)["lang_pred"], F.lit("und")), "score": F.coalesce(F.col(both)["score"], F.lit(0.0))}).drop(both)
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, floor: float = 0.4, text: str = "text") -> DataFrame:

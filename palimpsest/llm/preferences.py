@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import park
+from ._store import park, unused
 
 #: A turn is rendered as OPEN role CLOSE text END.
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
@@ -79,16 +79,17 @@ def preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejec
     prompt_turns counts the turns of the longest common prefix, prompt renders
     them; chosen and rejected become the completions, chosen_spans and
     rejected_spans the characters of each that train.  A null conversation counts
-    as empty; equal conversations leave both completions empty.  All other columns
-    stay; an empty table stays empty.
+    as empty; equal conversations leave both completions empty.  Columns of these
+    names are replaced, all others stay; an empty table stays empty.
     """
     none = F.filter(F.array(F.struct(F.lit("").alias("role"), F.lit("").alias("text"))), lambda _: F.lit(False))
-    rows = pairs.withColumns({"__c": F.coalesce(F.col(chosen), none), "__r": F.coalesce(F.col(rejected), none)})
-    same = F.array_position(F.zip_with("__c", "__r", lambda a, b: a.eqNullSafe(b)), False)
-    rows = rows.withColumn("prompt_turns", F.when(same > 0, same - 1).otherwise(F.least(F.size("__c"), F.size("__r"))).cast("int"))
-    rest = {c: F.slice(c, F.col("prompt_turns") + 1, F.size(c)) for c in ("__c", "__r")}
-    rows = rows.withColumns({"prompt": _render(F.slice("__c", 1, F.col("prompt_turns"))), "__c": rest["__c"], "__r": rest["__r"]})
-    return rows.withColumns({chosen: _render(F.col("__c")), rejected: _render(F.col("__r")), f"{chosen}_spans": _spans(F.col("__c")), f"{rejected}_spans": _spans(F.col("__r"))}).drop("__c", "__r")
+    c, r = unused(pairs, "chosen"), unused(pairs, "rejected")
+    rows = pairs.withColumns({c: F.coalesce(F.col(f"`{chosen}`"), none), r: F.coalesce(F.col(f"`{rejected}`"), none)})
+    same = F.array_position(F.zip_with(c, r, lambda a, b: a.eqNullSafe(b)), False)
+    rows = rows.withColumn("prompt_turns", F.when(same > 0, same - 1).otherwise(F.least(F.size(c), F.size(r))).cast("int"))
+    rest = {k: F.slice(k, F.col("prompt_turns") + 1, F.size(k)) for k in (c, r)}
+    rows = rows.withColumns({"prompt": _render(F.slice(c, 1, F.col("prompt_turns"))), **rest})
+    return rows.withColumns({chosen: _render(F.col(c)), rejected: _render(F.col(r)), f"{chosen}_spans": _spans(F.col(c)), f"{rejected}_spans": _spans(F.col(r))}).drop(c, r)
 
 
 def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
