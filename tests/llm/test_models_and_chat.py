@@ -63,11 +63,20 @@ def test_myers():
         assert myers(np.array(p, np.uint64), np.array(t, np.uint64))[0] == brute.edit_distance(p, t)
 
 
+def test_myers_of_many_at_once(monkeypatch):
+    monkeypatch.setattr(decontaminate, "CELLS", 200)
+    rng = np.random.default_rng(2)
+    patterns = [rng.integers(0, 4, rng.integers(1, 65)).astype(np.uint64) for _ in range(200)] + [np.arange(64, dtype=np.uint64)]
+    texts = [rng.integers(0, 4, rng.integers(0, 90)).astype(np.uint64) for _ in range(200)] + [np.arange(64, dtype=np.uint64)]
+    best, ends = decontaminate.myers_all(patterns, texts)
+    assert list(zip(best.tolist(), ends.tolist())) == [tuple(int(x) for x in myers(p, t)) for p, t in zip(patterns, texts)]
+
+
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(7)
     vocabulary = [f"w{k}" for k in range(400)]
     make = lambda n: [rng.choice(vocabulary) for _ in range(n)]
-    items = [make(n) for n in (8, 12, 25, 40, 59, 60, 7, 3)]
+    items = [make(n) for n in (8, 12, 25, 40, 59, 60, 7, 3, 1)]
     docs = []
     for k in range(160):
         doc = make(rng.randint(0, 120))
@@ -81,7 +90,7 @@ def test_decontamination_against_brute_force(spark):
         docs.append(doc)
     df = spark.createDataFrame([(i, " ".join(d).upper() if i % 5 == 0 else ", ".join(d)) for i, d in enumerate(docs)] + [(900, None), (901, ""), (902, "!!!")], "doc_id long, text string")
     bench = spark.createDataFrame([(i, " ".join(t), "x") for i, t in enumerate(items)] + [(50, None, "x"), (51, "", "x"), (None, "w1 " * 9, "x")], "item_id long, text string, edits string")
-    want = {(i, j): d for i, doc in enumerate(docs) for j, t in enumerate(items) if len(t) >= 8 and (d := brute.edit_distance(t, doc)) <= int(len(t) * 0.1)}
+    want = {(i, j): d for i, doc in enumerate(docs) for j, t in enumerate(items) if (d := brute.edit_distance(t, doc)) <= int(len(t) * 0.1)}
     for block in (1 << 20, 100):
         got = {(r.doc_id, r.item_id): r.edits for r in matches(df, bench, block_bytes=block).collect()}
         assert got == want and want
@@ -90,6 +99,37 @@ def test_decontamination_against_brute_force(spark):
     assert matches(df, bench.where("false")).collect() == [] and matches(df.where("false"), bench).collect() == []
 
 
+def test_long_items_as_a_whole(spark):
+    """Items of more words than a machine word has bits, with edits up to and over their budget."""
+    rng = random.Random(3)
+    items = [[f"{c}{k}" for k in range(n)] for c, n in (("a", 61), ("b", 64), ("c", 65), ("d", 130), ("e", 200))]
+    rows = []
+    for j, t in enumerate(items):
+        for edits in (0, 1, len(t) // 10, len(t) // 10 + 3, len(t) // 2):
+            part = list(t)
+            for at in rng.sample(range(len(t)), edits):
+                part[at] = "other"
+            rows.append((len(rows), " ".join(["x"] * 5 + part + ["y"] * 5), j))
+    df = spark.createDataFrame(rows, "doc_id long, text string, item int")
+    bench = spark.createDataFrame([(j, " ".join(t)) for j, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.edits, r.end_word - r.first_word) for r in matches(df, bench).collect()}
+    for i, text, j in rows:
+        d = brute.edit_distance(items[j], text.split())
+        if d <= len(items[j]) // 10:
+            assert got[i, j][0] == d and got[i, j][1] >= len(items[j]) - d
+        elif (i, j) in got:
+            assert got[i, j][1] < len(items[j]) * 0.9
+
+
+def test_a_piece_of_many_items(spark):
+    """Questions made from one template: a document that holds it is aligned with all of them."""
+    head, tail = "which of the following towns lies nearest to the river", "choose one answer only and give reasons for it"
+    bench = spark.createDataFrame([(j, f"{head} r{j} of land l{j} {tail}") for j in range(3000)], "item_id long, text string")
+    df = spark.createDataFrame([(i, f"so {head} r{i} of land l{i} {tail} then") for i in range(0, 3000, 1000)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.edits for r in matches(df, bench).collect()}
+    assert got == {(i, j): 0 if i == j else 2 for i in range(0, 3000, 1000) for j in range(3000)}
+
+
 def test_decontamination_folds_case_beyond_ascii(spark):
     rng = random.Random(8)
     vocabulary = [f"{w}{k}" for k in range(40) for w in ("éonleeau", "straße", "ñandú", "größe", "λόγος", "plain")]
@@ -152,7 +192,19 @@ def test_cotraining_uses_both_views():
     rng = np.random.default_rng(1)
     y = rng.integers(0, 2, 2000)
     a, b = (np.hstack([(y + rng.normal(0, 0.5, 2000))[:, None], rng.normal(0, 1, (2000, 3))]).astype(np.float32) for _ in range(2))
-    m = quality.cotrain(a[:60], b[:60], y[:60], a[60:1000], b[60:1000])
+    used = {"says": set(), "page": set()}
+
+    def teach(model):
+        out = {}
+        for k, x in (("says", a), ("page", b)):
+            p = model[k].sure(x[60:1000])
+            rows = [i for i in range(940) if max(p[i], 1 - p[i]) >= 0.9 and i not in used[k]][:40]
+            used[k] |= set(rows)
+            out[k] = a[60:1000][rows], b[60:1000][rows], (p[rows] >= 0.5).astype(int)
+        return out
+
+    m = quality.cotrain(a[:60], b[:60], y[:60], teach)
+    assert used["says"] and used["page"]
     both = np.mean((m.combine(a[1000:], b[1000:]) > 0.5) == y[1000:])
     one = np.mean((m.says.odds(a[1000:]) > 0) == y[1000:])
     assert both > 0.88 and both >= one - 0.01
@@ -204,8 +256,8 @@ def test_pipeline_against_plain_steps(spark, tmp_path):
     spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     told = [(i, "\n".join(x for x in t.split("\n") if x != ad)) for i, t, *_ in rows if i not in (902, 903)]
-    root = brute.near_duplicates(told, 80)
-    want = {i: t for i, t in told if root[i][1] == i and leak not in t}
+    root = {i: c for i, _, c in brute.near_duplicates(told, 80)}
+    want = {i: t for i, t in told if root[i] == i and leak not in t}
     assert set(got) == set(want) and 900 not in got and 901 not in got
     from palimpsest.llm.sentencepieces import Vocabulary
 
