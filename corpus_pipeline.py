@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import decontaminate, language_id, line_dedup, minhash_hamming, sentencepieces
-from palimpsest.llm._store import new_path
+from palimpsest.llm._store import drop_path, new_path, scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark, however short an item is."""
-    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least=1)
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +54,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            path = new_path(spark, f"stage-{k}")
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    before = None
+    for _, stage in STAGES[:-1]:
+        with scratch(spark):  # what a stage has parked goes when its rows are written
+            rows = stage(spark, docs, sf_dir)
+            path = new_path(spark, "stage")
+            rows.write.parquet(path)
+        if before:
+            drop_path(spark, before)
+        docs, before = spark.read.schema(rows.schema).parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)
