@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import WS
+from .patterns import BLANKS, WS
 
 # Letters and weights of the public rules.
 NIF_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
@@ -18,7 +18,7 @@ CF_SHAPE = r"^[A-Z]{6}[0-9]{2}[A-Z][0-9]{2}[A-Z][0-9]{3}[A-Z]$"
 
 def strip(c: Column) -> Column:
     """Without white space at either end, in Python's sense of it."""
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def bound(c: Column, use: Callable[[Column], Column]) -> Column:

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 
 B = r"(?U:\b)"
 WS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: The characters of WS.
+BLANKS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 NOT_URL = r"[^\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000<>\"')]"
 
 # The shapes that are scanned for.
@@ -43,12 +45,12 @@ HARD_KINDS = ("EMAIL", "IBAN", "CREDIT_CARD", "PHONE", "SSN_NATIONAL_ID", "TAX_I
 # Other names of kinds.
 ALIASES = {
     "NAME": "PERSON", "FULL_NAME": "PERSON", "PERSON_NAME": "PERSON", "MAIL": "EMAIL", "E_MAIL": "EMAIL",
-    "TELEPHONE": "PHONE", "MOBILE": "PHONE", "PHONE_NUMBER": "PHONE", "PHONE_OR_FAX": "PHONE",
+    "TELEPHONE": "PHONE", "MOBILE": "PHONE", "PHONE_NUMBER": "PHONE",
     "BIRTH_DATE": "DOB", "DATE_OF_BIRTH": "DOB", "STREET_ADDRESS": "ADDRESS", "LOCATION": "ADDRESS",
     "SOCIAL_SECURITY_NUMBER": "SSN_NATIONAL_ID", "SSN": "SSN_NATIONAL_ID", "NATIONAL_ID": "SSN_NATIONAL_ID", "ID_NUMBER": "SSN_NATIONAL_ID",
     "FISCAL_CODE": "TAX_ID", "VAT": "TAX_ID", "TAX_CODE": "TAX_ID", "CARD": "CREDIT_CARD", "PAN": "CREDIT_CARD", "CREDITCARD": "CREDIT_CARD",
     "BANK_ACCOUNT_NUMBER": "BANK_ACCOUNT", "ACCOUNT_NUMBER": "BANK_ACCOUNT", "LICENSE_PLATE": "LICENCE_PLATE", "PLATE": "LICENCE_PLATE",
-    "HEALTH": "MEDICAL", "DIAGNOSIS": "MEDICAL", "FACE": "BIOMETRIC", "PORTRAIT": "PHOTO", "IMAGE_OF_PERSON": "PHOTO",
+    "PHONE_OR_FAX": "PHONE", "HEALTH": "MEDICAL", "DIAGNOSIS": "MEDICAL", "FACE": "BIOMETRIC", "PORTRAIT": "PHOTO", "IMAGE_OF_PERSON": "PHOTO",
     "COMPANY": "EMPLOYER", "ORGANISATION": "EMPLOYER", "ORGANIZATION": "EMPLOYER",
 }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,25 +41,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # --- scans ------------------------------------------------------------------------
 
-#: RE2 forms of shapes (its word boundary is ASCII, so letters beyond it are written as _ before, all else as ~).
-_RE2 = {
-    "email": r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b",
-    "iban": r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}\b",
-    "card": r"\b(?:[0-9][ \-]?){13,19}\b",
-    "cf": r"(?i)\b[A-Z]{6}[0-9]{2}[A-Z][0-9]{2}[A-Z][0-9]{3}[A-Z]\b",
-    "vat": r"\bIT[0-9]{11}\b",
-    "nif": r"\b[XYZ]?[0-9]{7,8}[A-Z]\b",
-    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
-    "ipv4": r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b",
-    "ipv6": r"\b(?:[0-9a-fA-F]{1,4}:){2,7}[0-9a-fA-F]{1,4}\b",
-    "date": r"(?i)\b(?:[0-9]{1,2}[/.\-][0-9]{1,2}[/.\-][0-9]{2,4}|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+[0-9]{2,4})\b",
-    "plate": r"\b[A-Z]{2}\s?[0-9]{3}\s?[A-Z]{2}\b",
-    "url": r"\bhttps?://[^\s<>\"')]+",
-    "postal_it": r"\b[0-9]{5}\b",
-    "postal_uk": r"\b[A-Z]{1,2}[0-9]{1,2}[A-Z]?\s?[0-9][A-Z]{2}\b",
-    "passport": r"\b[A-Z]{1,2}[0-9]{6,9}\b",
-    "nhs": r"\b[0-9]{3}\s?[0-9]{3}\s?[0-9]{4}\b",
-}
+
+
+def _re2(pattern: str) -> str:
+    """A shape for RE2, whose word boundary is ASCII: letters beyond it are written as _ before, white space as a tab, all else as ~."""
+    for ours, theirs in ((patterns.B, r"\b"), (patterns.NOT_URL, r"[^\s<>\"')]"), (patterns.WS, r"\s"), ("(?iu)", "(?i)"), ("(?imud)", "(?im)"), ("(?md)", "(?m)")):
+        pattern = pattern.replace(ours, theirs)
+    return pattern
+
+
+#: RE2 has no lookaround, so for telephone numbers a mark stands after each run of digits, and another one for a plus after a digit.
+_RUN, _NO_PLUS = "\x01", "\x02"
+_RE2 = {s.name: _re2(s.pattern) for s in _BY_NAME.values()}
+_RE2["phone"] = re.sub(r"(\[0-9\]\{\d,\d\})", rf"\1{_RUN}?", _RE2["phone"].replace("(?<![0-9])", "").replace("(?![0-9])", "")) + "END"
+_RE2["phone"] = _RE2["phone"].replace(f"{_RUN}?END", _RUN)
+
+
+#: White space that RE2's own class lacks, and all of it.
+_RARE_WS = r"\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_WS2 = rf"[\s{_RARE_WS}]"
 
 
 def _q(s: str) -> str:
@@ -66,7 +67,7 @@ def _q(s: str) -> str:
 
 
 def _plain(text: str) -> str:
-    return f"regexp_replace(regexp_replace(regexp_replace({text}, '[^\\P{{L}}\\x00-\\x7F]', '_', 'g'), '[^\\P{{N}}\\x00-\\x7F]', '_', 'g'), '[^\\x00-\\x7F]', '~', 'g')"
+    return f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({text}, '[{_RARE_WS}]', chr(9), 'g'), '[^\\P{{L}}\\x00-\\x7F]', '_', 'g'), '[^\\P{{N}}\\x00-\\x7F]', '_', 'g'), '[^\\x00-\\x7F]', '~', 'g')"
 
 
 _LUHN = "(len(regexp_replace({v}, '[^0-9]', '', 'g')) >= 13 AND list_sum(list_transform(range(1, len(regexp_replace({v}, '[^0-9]', '', 'g')) + 1), lambda i: CASE WHEN (i - 1) % 2 <> len(regexp_replace({v}, '[^0-9]', '', 'g')) % 2 THEN CAST(regexp_replace({v}, '[^0-9]', '', 'g')[i] AS INTEGER) ELSE (2 * CAST(regexp_replace({v}, '[^0-9]', '', 'g')[i] AS INTEGER)) // 10 + (2 * CAST(regexp_replace({v}, '[^0-9]', '', 'g')[i] AS INTEGER)) % 10 END)) % 10 = 0)"
@@ -83,13 +84,16 @@ _CF = (
     "(regexp_full_match(upper({v}), '[A-Z]{{6}}[0-9]{{2}}[A-Z][0-9]{{2}}[A-Z][0-9]{{3}}[A-Z]') AND "
     f"substring('{checksums.ALPHABET}', CAST(list_sum(list_transform(range(0, 15), lambda i: CASE WHEN i % 2 = 0 THEN {_ODD}[{_AT} + 1] ELSE {_AT} END)) % 26 AS INTEGER) + 1, 1) = substring(upper({{v}}), 16, 1))"
 )
-_GATE_SQL = {"iban": _IBAN, "card": _LUHN, "nif": _NIF, "ipv4": _IP}
+_PHONE = r"(length(regexp_replace({v}, '[^0-9]', '', 'g')) BETWEEN 8 AND 15 AND NOT regexp_full_match({v}, '(?:[0-9][ \-]?){{12,18}}[0-9]'))"
+_GATE_SQL = {"iban": _IBAN, "card": _LUHN, "nif": _NIF, "ipv4": _IP, "phone": _PHONE}
 
 
 def _matches_sql(src: str, scanner: str) -> str:
     """Of (id, text) rows, (id, value, start_pos, end_pos) of all matches: what stands between them and they themselves add up to their places."""
-    re = _q(_RE2[scanner])
-    cut = f"SELECT id, text, string_split_regex({_plain('text')}, {re}) AS g, regexp_extract_all({_plain('text')}, {re}) AS m FROM ({src})"
+    shape, seen = _q(_RE2[scanner]), _plain("text")
+    if scanner == "phone":
+        seen = f"replace(regexp_replace({seen}, '([0-9]+)', '\\1{_RUN}', 'g'), '{_RUN}+', '{_RUN}{_NO_PLUS}')"
+    cut = f"SELECT id, text, list_transform(string_split_regex({seen}, {shape}), lambda x: replace(x, '{_RUN}', '')) AS g, list_transform(regexp_extract_all({seen}, {shape}), lambda x: replace(x, '{_RUN}', '')) AS m FROM ({src})"
     at = "SELECT id, text, g, m, unnest(range(1, len(m) + 1)) AS i FROM cut WHERE len(m) > 0"
     start = "list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)"
     return f"WITH cut AS ({cut}), hit AS ({at}), placed AS (SELECT id, text, length(m[i]) AS n, CAST({start} AS INTEGER) AS s FROM hit) SELECT id, substring(text, s + 1, n) AS value, s AS start_pos, CAST(s + n AS INTEGER) AS end_pos FROM placed"
@@ -143,14 +147,34 @@ def scan_phone_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "s.value", F.col("s.start").alias("start_pos"), F.col("s.end").alias("end_pos"))
 
 
-@_query()
+_DOCUMENTS = "SELECT doc_id AS id, text FROM documents"
+
+
+@_query(f"SELECT * FROM ({_matches_sql(_DOCUMENTS, 'phone')}) WHERE {_PHONE.format(v='value')}")
 def scan_phone_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lookaround, which RE2 lacks; tests hold it against another regex engine."""
     rows = _documents(spark, sf_dir).select("id", F.explode(candidates(F.col("text"), [_BY_NAME["phone"]])).alias("s"))
     return rows.select("id", "s.value", F.col("s.start").alias("start_pos"), F.col("s.end").alias("end_pos"))
 
 
-@_query()
+def _spans_sql(scanners: tuple[patterns.Scanner, ...], src: str = _DOCUMENTS) -> str:
+    """CTE kept (id, kind, value, start_pos, end_pos, confidence, reason): the spans of (id, text) rows without overlaps; needs WITH RECURSIVE."""
+    parts = []
+    for k, s in enumerate(scanners):
+        sure, why = str(s.confidence), _q(s.reason)
+        if s.gate == "cf":
+            sure, why = (f"CASE WHEN {_CF.format(v='value')} THEN {a} ELSE {b} END" for a, b in (("0.98", sure), ("'codice_fiscale_checksum'", why)))
+        parts.append(f"SELECT id, '{s.kind}' AS kind, value, start_pos, end_pos, CAST({sure} AS DOUBLE) AS confidence, {why} AS reason, {k} AS k FROM ({_matches_sql(src, s.name)}) WHERE {_GATE_SQL.get(s.name, 'true').format(v='value')}")
+    return f"""spans AS MATERIALIZED ({' UNION ALL '.join(parts)}),
+ordered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id ORDER BY start_pos, start_pos - end_pos, -confidence, k) AS i FROM spans),
+walk AS (
+  SELECT *, end_pos AS e, true AS keep FROM ordered WHERE i = 1
+  UNION ALL
+  SELECT o.*, CASE WHEN o.start_pos >= w.e THEN o.end_pos ELSE w.e END, o.start_pos >= w.e FROM walk w JOIN ordered o ON o.id = w.id AND o.i = w.i + 1
+),
+kept AS (SELECT id, kind, value, start_pos, end_pos, confidence, reason FROM walk WHERE keep)"""
+
+
+@_query(f"WITH RECURSIVE {_spans_sql(patterns.SCANNERS)} SELECT * FROM kept")
 def scan_all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All scanners and overlap resolution."""
     rows = _documents(spark, sf_dir).select("id", F.explode(scan(F.col("text"))).alias("s")).select("id", "s.*")
@@ -201,7 +225,6 @@ def overlaps_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- text -------------------------------------------------------------------------
 
-_WS2 = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _JUNK = "'  ' || replace(text, '. ', '.' || chr(13) || chr(10)) || chr(173) || 'a-' || chr(10) || 'b-' || chr(10) || 'c ' || chr(9) || chr(10) || chr(10) || chr(10) || chr(10) || 'e' || chr(769) || chr(8203) || chr(13) || ' '"
 
 
@@ -309,45 +332,35 @@ def _masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("m", masking.masked(F.col("text"), F.col("plan")))
 
 
-def _spans_sql() -> str:
-    parts = []
-    for k, (s, kind, conf) in enumerate((("email", "EMAIL", 0.99), ("card", "CREDIT_CARD", 0.98), ("ipv4", "IP_ADDRESS", 0.85))):
-        gate = _GATE_SQL.get(s, "true").format(v="value")
-        parts.append(f"SELECT id, '{kind}' AS kind, value, start_pos, end_pos, CAST({conf} AS DOUBLE) AS conf, {k} AS k FROM ({_matches_sql('SELECT doc_id AS id, text FROM documents', s)}) WHERE {gate}")
-    return f"""spans AS ({' UNION ALL '.join(parts)}),
-ordered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY start_pos, start_pos - end_pos, -conf, k) AS i FROM spans),
-walk AS (
-  SELECT *, end_pos AS e, true AS keep FROM ordered WHERE i = 1
-  UNION ALL
-  SELECT o.*, CASE WHEN o.start_pos >= w.e THEN o.end_pos ELSE w.e END, o.start_pos >= w.e FROM walk w JOIN ordered o ON o.id = w.id AND o.i = w.i + 1
-),
-plan AS (SELECT id, kind, value, max(conf) AS conf, {_token_sql('value', 'kind')} AS placeholder FROM walk WHERE keep GROUP BY id, kind, value),
-step AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY -length(value), -conf, kind, value) AS i FROM plan),
+#: plan (id, kind, value, confidence, placeholder) and masked (id, i, text, kind, value, placeholder, n), a row for each replacement, from found (id, kind, value, confidence).
+_MASKED_SQL = f"""plan AS MATERIALIZED (SELECT id, kind, value, max(confidence) AS confidence, {_token_sql('value', 'kind')} AS placeholder FROM found GROUP BY id, kind, value),
+step AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id ORDER BY -length(value), -confidence, kind, value) AS i FROM plan),
 masked AS (
-  SELECT doc_id AS id, 0 AS i, text, CAST(NULL AS VARCHAR) AS kind, CAST(0 AS BIGINT) AS n FROM documents
+  SELECT doc_id AS id, 0 AS i, coalesce(text, '') AS text, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS placeholder, CAST(0 AS BIGINT) AS n FROM documents
   UNION ALL
-  SELECT m.id, CAST(m.i + 1 AS INTEGER), replace(m.text, s.value, s.placeholder), s.kind, CAST((length(m.text) - length(replace(m.text, s.value, ''))) // length(s.value) AS BIGINT) FROM masked m JOIN step s ON s.id = m.id AND s.i = m.i + 1
+  SELECT m.id, CAST(m.i + 1 AS INTEGER), replace(m.text, s.value, s.placeholder), s.kind, s.value, s.placeholder, CAST((length(m.text) - length(replace(m.text, s.value, ''))) // length(s.value) AS BIGINT) FROM masked m JOIN step s ON s.id = m.id AND s.i = m.i + 1
 )"""
+_SAFE_SQL = f"WITH RECURSIVE {_spans_sql(tuple(_SAFE))}, found AS (SELECT id, kind, value, confidence FROM kept), {_MASKED_SQL}"
 
 
-@_query(f"WITH RECURSIVE {_spans_sql()} SELECT id AS doc_id, arg_max(text, i) AS cleaned_text, CAST(count(*) FILTER (WHERE n > 0) AS INTEGER) AS n_masked FROM masked GROUP BY id")
+@_query(f"{_SAFE_SQL} SELECT id AS doc_id, arg_max(text, i) AS cleaned_text, CAST(count(*) FILTER (WHERE n > 0) AS INTEGER) AS n_masked FROM masked GROUP BY id")
 def mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _masked_documents(spark, sf_dir).select("doc_id", F.col("m.text").alias("cleaned_text"), F.size("m.changes").alias("n_masked"))
 
 
-@_query(f"WITH RECURSIVE {_spans_sql()} SELECT id AS doc_id, kind, value, placeholder, conf AS confidence FROM plan")
+@_query(f"{_SAFE_SQL} SELECT id AS doc_id, kind, value, placeholder, confidence FROM plan")
 def plan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _masked_documents(spark, sf_dir).select("doc_id", "found", F.explode("plan").alias("p"))
     conf = F.array_max(F.transform(F.filter("found", lambda f: (f["kind"] == F.col("p.kind")) & (f["value"] == F.col("p.value"))), lambda f: f["confidence"]))
     return rows.select("doc_id", "p.kind", "p.value", "p.placeholder", conf.alias("confidence"))
 
 
-@_query(f"WITH RECURSIVE {_spans_sql()} SELECT kind, CAST(sum(n) AS BIGINT) AS occurrences, count(*) AS documents FROM masked WHERE n > 0 GROUP BY kind")
+@_query(f"{_SAFE_SQL} SELECT kind, CAST(sum(n) AS BIGINT) AS occurrences, count(*) AS documents FROM masked WHERE n > 0 GROUP BY kind")
 def counts_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.counts_by_kind(_masked_documents(spark, sf_dir).select(F.col("m.changes").alias("changes")))
 
 
-@_query(f"WITH RECURSIVE {_spans_sql()}, d AS (SELECT id, sum(n) AS n FROM masked GROUP BY id) SELECT lang, source, count(*) AS documents, count(*) FILTER (WHERE n > 0) AS masked_documents, CAST(sum(n) AS BIGINT) AS occurrences FROM d JOIN documents ON doc_id = id GROUP BY ROLLUP (lang, source)")
+@_query(f"{_SAFE_SQL}, d AS (SELECT id, sum(n) AS n FROM masked GROUP BY id) SELECT lang, source, count(*) AS documents, count(*) FILTER (WHERE n > 0) AS masked_documents, CAST(sum(n) AS BIGINT) AS occurrences FROM d JOIN documents ON doc_id = id GROUP BY ROLLUP (lang, source)")
 def rollup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.rollup(_masked_documents(spark, sf_dir).withColumn("changes", F.col("m.changes")), "lang", "source")
 
@@ -528,21 +541,80 @@ def windows_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- the whole way ----------------------------------------------------------------
 
 
-@_query()
+def _list(words: tuple[str, ...]) -> str:
+    return "[" + ", ".join(map(_q, words)) + "]"
+
+
+_TOKENS = "list_transform(regexp_split_to_array({v}, '[ \\t]+'), lambda t: trim(t, '.,'))"
+#: Where a run of letters, digits, _ and . begins; RE2 lacks the lookbehind for it.
+_BEGIN = "\x01"
+_LOCAL = _BEGIN + r"[A-Za-z]{2,}(?:[._][A-Za-z]{2,}|-" + _BEGIN + r"[A-Za-z]{2,})+@"
+#: named (id, value, confidence): what functions.names finds, from kept and documents.
+_NAMES_SQL = rf"""raw AS (
+  SELECT doc_id AS id, doc_id IN (SELECT id FROM kept) AS has_spans,
+         list_transform(regexp_extract_all(text, {_q(_re2(names.LABEL))}, 1), lambda v: trim(v, ' ' || chr(9) || '.|,')) AS labelled,
+         list_transform(regexp_extract_all(regexp_replace(text, '([\p{{L}}\p{{N}}_.]+)', '{_BEGIN}\1', 'g'), {_q(_LOCAL)}), lambda v: translate(rtrim(replace(v, '{_BEGIN}', ''), '@'), '._-', '   ')) AS locals,
+         regexp_extract_all(text, {_q(_re2(names.LINE))}, 1) AS lines
+  FROM documents WHERE text IS NOT NULL
+), sorted AS (
+  SELECT id, list_concat(list_transform(labelled, lambda v: struct_pack(v := v, c := 0.9)), list_concat(list_transform(locals, lambda v: struct_pack(v := v, c := 0.8)),
+    CASE WHEN has_spans THEN list_transform(list_filter(lines, lambda v: NOT list_has_any({_TOKENS.format(v='lower(v)')}, {_list(names.ROLES)}) AND len(list_filter(lines, lambda o: lower(o) <> lower(v) AND starts_with(lower(o), lower(v) || ' '))) = 0), lambda v: struct_pack(v := v, c := 0.7)) ELSE [] END)) AS all_of
+  FROM raw
+), each AS (
+  SELECT id, i, regexp_replace(regexp_replace(all_of[i].v, '{_WS2}+', ' ', 'g'), '^ | $', '', 'g') AS value, CAST(all_of[i].c AS DOUBLE) AS confidence
+  FROM (SELECT id, all_of, unnest(range(1, len(all_of) + 1)) AS i FROM sorted)
+), fine AS (
+  SELECT * FROM each WHERE value <> '' AND NOT list_contains({_list(names.STOP_PHRASES)}, lower(value)) AND NOT list_has_any(list_transform(string_split(lower(value), ' '), lambda t: trim(t, '.,')), {_list(names.STOP_TOKENS)})
+), named AS (
+  SELECT id, value, confidence FROM (SELECT *, row_number() OVER (PARTITION BY id, lower(value) ORDER BY i) AS r FROM fine) WHERE r = 1
+)"""
+#: What was found and stands in the text, the steps of masking, and a row out (doc_id, status, ..., cleaned_text, changes) for each document.
+_WHOLE_SQL = f"""WITH RECURSIVE {_spans_sql(patterns.SCANNERS)}, {_NAMES_SQL},
+found AS (SELECT f.* FROM (SELECT id, kind, value, confidence FROM kept UNION ALL SELECT id, 'PERSON', value, confidence FROM named) f JOIN documents ON doc_id = f.id AND contains(text, value)),
+{_MASKED_SQL},
+result AS (SELECT id, arg_max(text, i) AS cleaned_text, CAST(count(*) FILTER (WHERE n > 0) AS INTEGER) AS total_masked FROM masked GROUP BY id),
+kinds AS (SELECT id, kind, CAST(sum(n) AS BIGINT) AS n FROM masked WHERE n > 0 GROUP BY id, kind),
+base AS (SELECT *, CASE WHEN text IS NULL OR regexp_full_match(text, '{_WS2}*') THEN 'error' ELSE 'done' END AS status FROM documents)"""
+
+
+@_query(f"""{_WHOLE_SQL}
+SELECT b.doc_id, b.status, r.cleaned_text, r.total_masked,
+       CAST((SELECT count(*) FROM plan p WHERE p.id = b.doc_id AND contains(r.cleaned_text, p.value)) AS INTEGER) AS leaked,
+       coalesce((SELECT '[' || string_agg('{{"key":"' || kind || '","value":' || n || '}}', ',' ORDER BY kind) || ']' FROM kinds k WHERE k.id = b.doc_id), '[]') AS by_kind
+FROM base b JOIN result r ON r.id = b.doc_id""")
 def sanitise_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All scanners, names, one round of review and masking; tests hold it against a plain implementation."""
+    """All scanners, names, one round of review and masking."""
     rows = sanitised(table(spark, sf_dir, "documents"), Settings(salt=SALT))
     return rows.select("doc_id", "status", "cleaned_text", "total_masked", "leaked", F.to_json(F.array_sort(F.map_entries("by_kind"))).alias("by_kind"))
 
 
-@_query()
+@_query(f"""{_WHOLE_SQL},
+shown AS (SELECT id, replace(kind, '|', '\\|') AS kind, replace(placeholder, '|', '\\|') AS placeholder, replace(CASE WHEN length(value) <= 4 THEN repeat('*', length(value)) ELSE left(value, 2) || repeat('*', length(value) - 4) || right(value, 2) END, '|', '\\|') AS original FROM masked WHERE n > 0)
+SELECT b.doc_id, array_to_string(list_concat(
+  ['# PII removal report', '', '- Job: `' || b.doc_id || '`', '- Status: ' || b.status, '- Source file: ' || coalesce(b.source, 'n/a'), '- Document kind: text', '- Extraction method: plain_text',
+   '- Characters: ' || coalesce(CAST(b.n_chars AS VARCHAR), 'n/a'), '- Distinct values masked: ' || r.total_masked, '- Critic rounds: 1', '- Duration: 0 s', '', '## Masked categories', ''],
+  list_concat(coalesce((SELECT list_concat(['| category | count |', '| --- | --- |'], list('| ' || kind || ' | ' || n || ' |' ORDER BY -n, kind)) FROM kinds k WHERE k.id = b.doc_id HAVING count(*) > 0), ['- none detected']),
+  list_concat(['', '## Redaction table', '', 'Placeholders are stable per deployment: the same value always maps to the same', 'token, and the original cannot be recovered from it. Originals appear only as a', 'masked preview so this report stays safe to share.', ''],
+  list_concat(coalesce((SELECT list_concat(['| redaction | type | original (masked) |', '| --- | --- | --- |'], list('| `' || placeholder || '` | ' || kind || ' | `' || original || '` |' ORDER BY kind, placeholder, original)) FROM shown s WHERE s.id = b.doc_id HAVING count(*) > 0), ['- none']),
+  ['## Note', '', 'This report intentionally contains no original PII. The cleaned document is', 'stored encrypted at rest and is never written as plaintext by the application.'])))), chr(10)) AS report
+FROM base b JOIN result r ON r.id = b.doc_id""")
 def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = audited(sanitised(table(spark, sf_dir, "documents"), Settings(salt=SALT)).withColumn("__raw", F.col("changes")))
     report = audit.report(F.col("doc_id"), F.col("status"), F.col("source"), F.lit("text"), F.lit("plain_text"), F.col("n_chars"), F.size("rounds"), F.lit("0"), F.col("__raw"), F.col("by_kind"), F.array().cast("array<string>"))
     return rows.select("doc_id", report.alias("report"))
 
 
-@_query()
+@_query(f"""{_WHOLE_SQL},
+told AS (
+  SELECT b.doc_id, CASE WHEN b.status = 'error' THEN [struct_pack(stage := 'error', status := 'failed', detail := 'extraction produced no text; the file may be empty, corrupt, or require a vision model')] ELSE [
+    struct_pack(stage := 'ingest', status := 'done', detail := length(b.text) || ' chars'),
+    struct_pack(stage := 'validators', status := 'done', detail := (SELECT count(*) FROM kept k WHERE k.id = b.doc_id) || ' span(s) confirmed by regex/checksum'),
+    struct_pack(stage := 'detect', status := 'done', detail := '1 round(s)'), struct_pack(stage := 'critique', status := 'done', detail := 'accepted=true'),
+    struct_pack(stage := 'converge', status := 'done', detail := 'detector and critic agree'),
+    struct_pack(stage := 'mask', status := 'done', detail := (SELECT count(*) FROM plan p WHERE p.id = b.doc_id) || ' finding(s), ' || r.total_masked || ' distinct value(s) masked')] END AS t
+  FROM base b JOIN result r ON r.id = b.doc_id
+)
+SELECT doc_id, CAST(seq AS INTEGER) AS seq, t[seq + 1].stage AS stage, t[seq + 1].status AS status, t[seq + 1].detail AS detail FROM (SELECT doc_id, t, unnest(range(0, len(t))) AS seq FROM told)""")
 def trace_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace(sanitised(table(spark, sf_dir, "documents"), Settings(salt=SALT)), "doc_id")
 

@@ -25,6 +25,12 @@ def test_normalise(spark, t):
     assert one(spark, T.normalise(F.col("t")), t=t) == plain(t)
 
 
+def test_long_runs_of_blanks(spark):
+    """A megabyte of them, each run looked at once."""
+    t = "x" + " \t" * 500_000 + "y" + " " * 500_000 + "\nz" + " " * 500_000
+    assert one(spark, T.normalise(F.col("t")), t=t) == "x" + " \t" * 500_000 + "y\nz"
+
+
 def test_null_stays_null(spark):
     assert one(spark, T.normalise(F.col("t")), t=None) is None
     assert one(spark, T.clip(F.col("t"), 5), t=None) is None
