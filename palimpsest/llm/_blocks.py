@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ._store import small
 
 #: Entries of a block, about; two blocks meet in one place.
-BLOCK = 64
+BLOCK = 128
 
 Compare = Callable[[pa.Table, np.ndarray, np.ndarray], pa.RecordBatch | None]
 
