@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import io
 import re
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checksums, findings, masking, names, patterns, recovery, text
-from ..functions.pseudonyms import pseudonym
+from ..functions.pseudonyms import integrity_tag, pseudonym, sha256_hex
 from ..functions.scan import candidates, resolve_overlaps, scan
 from ..operators import audit, vault
-from ..sources.files import kind_of_file
+from ..sources.files import IMAGE_MAGIC, TRANSCRIPT, converted, kind_of_file
 from .sanitise import Settings, audited, sanitised, trace
+from .sanitise import found as reviewed
 
 SALT = "corpus-salt"
 #: Keys for the queries on encryption, which are no secrets.
@@ -124,9 +127,9 @@ _scan_query("card", "scan_card_orders", _made("orders", "o_orderkey", lambda k:
 # identifiers made of keys, some of them valid by chance
 for _s, _f in {
     "iban": "to IT%02d%022d by", "vat": "vat IT%011d.", "nif": "dni %08dK or X1234567L", "ssn": "ssn 123-45-%04d.", "plate": "car AB %03dCD!", "passport": "AA%07d", "postal_uk": "SW1A %dAA",
-    "cf": "cf rssmra%02da41f205z", "ipv6": "at 2001:db8:0:%04x:1.",
+    "cf": "cf rssmra%02da41f205z", "ipv6": "at 2001:db8:0:%04x:1.", "nhs": "nhs 943 476 %04d.", "postal_it": "via Roma 1, %05d Roma",
 }.items():
-    _mod = {"iban": 97, "ssn": 10000, "plate": 1000, "cf": 100, "postal_uk": 10, "ipv6": 65536}.get(_s, 10_000_000)
+    _mod = {"iban": 97, "ssn": 10000, "plate": 1000, "cf": 100, "postal_uk": 10, "ipv6": 65536, "nhs": 10000, "postal_it": 100000}.get(_s, 10_000_000)
 
     def _spark(k: Column, s: str = _s, f: str = _f, mod: int = _mod) -> Column:
         return F.format_string(f, k % 97, k) if s == "iban" else F.format_string(f, k % mod)
@@ -296,10 +299,14 @@ def budgets_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- pseudonyms -------------------------------------------------------------------
 
 
-def _hmac_sql(value: str, kind: str) -> str:
+def _hmac_of(message: str) -> str:
     key = SALT.encode().ljust(64, b"\0")
     inner, outer = (bytes(b ^ p for b in key).hex() for p in (0x36, 0x5C))
-    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({kind} || ':' || {value}))))"
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({message}))))"
+
+
+def _hmac_sql(value: str, kind: str) -> str:
+    return _hmac_of(f"{kind} || ':' || {value}")
 
 
 def _token_sql(value: str, kind: str) -> str:
@@ -320,6 +327,24 @@ def collisions_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.collisions(table(spark, sf_dir, "customer").select(plan.alias("plan"))).select(F.col("placeholder").alias("token"), F.col("values").alias("n"))
 
 
+@_query(f"SELECT token, count(DISTINCT v) AS n FROM (SELECT {_token_sql('v', chr(39) + 'ACCOUNT' + chr(39))} AS token, v FROM (SELECT printf('%09d', o_orderkey) AS v FROM orders)) GROUP BY token HAVING count(DISTINCT v) > 1")
+def collisions_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over enough values for some tokens to meet."""
+    v = F.format_string("%09d", F.col("o_orderkey"))
+    plan = F.array(F.struct(pseudonym(v, F.lit("ACCOUNT"), SALT).alias("placeholder"), v.alias("value")))
+    return audit.collisions(table(spark, sf_dir, "orders").select(plan.alias("plan"))).select(F.col("placeholder").alias("token"), F.col("values").alias("n"))
+
+
+_PAYLOAD_SQL = "'{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\"}'"
+
+
+@_query(f"SELECT event_id, sha256(event_type) AS digest, {_hmac_of(_PAYLOAD_SQL)} AS tag FROM events")
+def digests_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests, and integrity tags of payloads."""
+    tag = integrity_tag(F.struct("event_id", "event_type"), SALT.encode())
+    return table(spark, sf_dir, "events").select("event_id", sha256_hex(F.encode("event_type", "UTF-8")).alias("digest"), tag.alias("tag"))
+
+
 # --- masking ----------------------------------------------------------------------
 
 _SAFE = [_BY_NAME[n] for n in ("email", "card", "ipv4")]
@@ -365,6 +390,18 @@ def rollup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.rollup(_masked_documents(spark, sf_dir).withColumn("changes", F.col("m.changes")), "lang", "source")
 
 
+_ANSWERS = (" \n", "call {name} back", "call the client back")
+
+
+@_query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 2 THEN 'call the client back' ELSE 'call [X] back' END AS text FROM customer")
+def accepted_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's masked texts that are blank, that leak and that are fine, against our own."""
+    k, name = F.col("c_custkey"), F.col("c_name")
+    plan = F.array(F.struct(F.lit("PERSON").alias("kind"), name.alias("value"), F.lit("[X]").alias("placeholder")))
+    said = F.get(F.array(*[F.replace(F.lit(a), F.lit("{name}"), name) for a in _ANSWERS]), (k % 3).cast("int"))
+    return table(spark, sf_dir, "customer").select(k.alias("id"), masking.accepted(said, F.lit("call [X] back"), plan).alias("text"))
+
+
 # --- findings and reviews ---------------------------------------------------------
 
 
@@ -435,6 +472,60 @@ def converged_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reviewed(spark, sf_dir).select("id", findings.converged(F.col("critique")).alias("converged"))
 
 
+@_query("SELECT c_custkey AS id, c_custkey % 5 = 0 OR (c_custkey % 2 = 0 AND c_custkey % 11 >= 9) AS converged FROM customer")
+def converged_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews that miss something or nothing, with agreement on both sides of the threshold."""
+    k, c = F.col("id"), F.col("critique")
+    score = c.withField("agreement", k % 11 / F.lit(10.0))
+    missing = F.when(k % 2 == 0, F.slice(c["missing"], 1, 0)).otherwise(F.array(F.struct(F.lit("phone").alias("kind"), F.lit("555").alias("value"), F.lit("").alias("context"), F.lit(1.0).alias("confidence"))))
+    return _reviewed(spark, sf_dir).select("id", findings.converged(score.withField("missing", missing)).alias("converged"))
+
+
+@_query(f"WITH {_BASE} SELECT m.id, CASE WHEN value = mail THEN 'USERNAME' WHEN value = name AND m.id % 2 = 1 THEN 'OTHER' ELSE kind END AS kind, value, confidence, source FROM merged m JOIN base b ON m.id = b.id")
+def corrected_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews that correct kinds: of two corrections the last counts, an unknown kind is OTHER."""
+    k, f = F.col("id"), F.col("found")
+    fix = lambda value, kind: F.struct(value.alias("value"), F.lit(kind).alias("kind"))
+    mail, name = F.get(f, F.lit(1))["value"], F.get(f, F.lit(0))["value"]
+    wrong = F.concat(F.array(fix(mail, "phone"), fix(mail, "username")), F.when(k % 2 == 1, F.array(fix(name, "nonsense"))).otherwise(F.slice(F.array(fix(name, "")), 1, 0)))
+    return _findings_out(_reviewed(spark, sf_dir), findings.merged(f, F.col("critique").withField("wrong_kind", wrong), fix_kinds=True))
+
+
+@_query("SELECT c_custkey AS id, 'PERSON' AS kind, 'Ann Other' AS value, CAST(0.7 AS DOUBLE) AS confidence, 'name_detector' AS source FROM customer UNION ALL SELECT c_custkey, 'PERSON', c_name, 0.6, 'detector' FROM customer WHERE c_custkey % 2 = 0")
+def uncovered_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persons, the first of whom is now and then found as an employer too."""
+    f = F.col("found")
+    first = F.get(f, F.lit(0))
+    more = F.when(F.col("id") % 2 == 1, F.array(first.withField("kind", F.lit("EMPLOYER")))).otherwise(F.slice(f, 1, 0))
+    return _findings_out(_reviewed(spark, sf_dir), findings.uncovered_names(F.concat(F.slice(f, 1, 1), more, F.slice(F.col("extra"), 2, 1))))
+
+
+@_query(f"""WITH {_BASE} SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY -confidence, kind, value) - 1 AS INTEGER) AS pos, kind, value, {_token_sql('value', 'kind')} AS placeholder
+FROM (SELECT * FROM found UNION ALL SELECT id, 'ADDRESS', 'Via ' || id, 0.6, '' FROM base)""")
+def plan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans, in their order: by confidence, then kind; what is found twice stands once."""
+    f = F.col("found")
+    place = F.get(f, F.lit(0)).withField("kind", F.lit("ADDRESS")).withField("value", F.concat(F.lit("Via "), F.col("id")))
+    plan = masking.plan_of(F.concat(f, F.array(place, place), F.slice(f, 2, 1)), SALT)
+    return _reviewed(spark, sf_dir).select("id", F.posexplode(plan).alias("pos", "p")).select("id", "pos", "p.kind", "p.value", "p.placeholder")
+
+
+@_query("""
+SELECT c_custkey AS id, CAST(r AS INTEGER) AS round, CAST(1 AS INTEGER) AS detector_findings, CAST(0.5 AS DOUBLE) AS critic_agreement, r > c_custkey % 4 AS accepted, c_custkey % 4 < 3 AS converged
+FROM customer, unnest(range(1, least(c_custkey % 4 + 1, 3) + 1)) AS t(r)
+""")
+def rounds_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each round of review says, where the reviewer gives in after none to three rounds."""
+    k = F.col("c_custkey")
+
+    def strict(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("critique", findings.agreed().withField("agreement", F.lit(0.5)).withField("accepted", F.col("round") > k % 4))
+
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.format_string("mail c%d@shop.example", k).alias("text"))
+    told = reviewed(rows, Settings(salt=SALT, max_rounds=3), reviewer=strict).select(k.alias("id"), "converged", F.explode("rounds").alias("r"))
+    return told.select("id", "r.round", "r.detector_findings", "r.critic_agreement", "r.accepted", "converged")
+
+
 # --- names ------------------------------------------------------------------------
 
 
@@ -469,8 +560,124 @@ def surname_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "h.surname_letters", "h.name_letters")
 
 
+@_query("""
+SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'ADA BYRON' ELSE 'Ada Byron' END AS value, CAST(0.9 AS DOUBLE) AS confidence FROM supplier
+UNION ALL SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'Carlo Verdi Neri' ELSE 'Carlo Verdi' END, 0.7 FROM supplier
+""")
+def names_stopped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that are found twice, that begin another one, that are roles, and that hold stop words."""
+    k = F.col("s_suppkey")
+    first, second = (F.when(k % 3 == 0, a).otherwise(b) for a, b in (("ADA BYRON", "Ada Byron"), ("Ada  Byron", "ADA BYRON")))
+    longer = F.when(k % 2 == 0, "\nCarlo Verdi Neri").otherwise("")
+    whole = F.concat(F.lit("Name: "), first, F.lit("\nFull name: "), second, F.lit("\nName: IBM Italia\nHolder: Curriculum Vitae\nCarlo Verdi"), longer, F.lit("\nSenior Analyst\nWork Experience\n"))
+    some = F.array(F.struct(F.lit("EMAIL").alias("kind"), F.lit("").alias("value")))
+    rows = table(spark, sf_dir, "supplier").select(k.alias("id"), F.explode(names.names(whole, some)).alias("f"))
+    return rows.select("id", "f.value", "f.confidence")
+
+
 # --- files, answers, storage ------------------------------------------------------
 
+
+def _zipped(parts: dict[str, str]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, body in parts.items():
+            z.writestr(zipfile.ZipInfo(name), body)
+    return out.getvalue()
+
+
+_W, _S = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"', 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+_R = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+_P = 'xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+_T = 'xmlns:table="urn:oasis:names:tc:opendocument:xmlns:table:1.0" xmlns:text="urn:oasis:names:tc:opendocument:xmlns:text:1.0"'
+_DOCX = _zipped({"word/document.xml": f"<w:document {_W}><w:body><w:p><w:r><w:t>Hi </w:t></w:r><w:r><w:t>there</w:t></w:r></w:p><w:p/><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>"})
+_PPTX = _zipped({"ppt/presentation.xml": "<p/>", "ppt/slides/slide2.xml": f"<p:sld {_P}/>", "ppt/slides/slide1.xml": f"<p:sld {_P}><p:sp><a:p><a:t>One </a:t><a:t>two</a:t></a:p></p:sp></p:sld>"})
+_ODT = _zipped({"content.xml": "<a><b>one</b>  <c>two</c></a>"})
+_XLSX = _zipped({
+    "xl/workbook.xml": f'<workbook {_S} {_R}><sheets><sheet name="One" r:id="r1"/></sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/s.xml"/></Relationships>',
+    "xl/sharedStrings.xml": f"<sst {_S}><si><t>a</t></si><si><t>yyy</t></si></sst>",
+    "xl/worksheets/s.xml": f'<worksheet {_S}><row><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>b</t></is></c></row><row><c r="A2" t="s"><v>1</v></c><c r="B2"><v>22</v></c></row></worksheet>',
+})
+_ODS = _zipped({"content.xml": f'<x {_T}><table:table table:name="One"><table:table-row><table:table-cell><text:p>a</text:p></table:table-cell><table:table-cell><text:p>b</text:p></table:table-cell></table:table-row><table:table-row><table:table-cell><text:p>yyy</text:p></table:table-cell><table:table-cell><text:p>22</text:p></table:table-cell></table:table-row></table:table></x>'})
+_SHEET = "## Sheet: One\nrows: 1, columns: 2\ncolumn names: a, b\n\n| a   | b  |\n|:----|:---|\n| yyy | 22 |"
+_BLANK = "the file contains no readable text (it is empty or blank)"
+#: Suffix and bytes of a file, and what comes of it: kind, text, method and error.
+_FILES = (
+    (".txt", "  héllo\n".encode(), "text", "héllo", "plain_text", None),
+    (".csv", "wide ✓".encode("utf-16"), "text", "wide ✓", "plain_text", None),
+    (".log", "café ".encode("latin-1"), "text", "café", "plain_text", None),
+    (".md", b" \n\n", "text", "", "plain_text", _BLANK),
+    ("", b"\0\1\2" * 50, None, None, None, "unsupported file type"),
+    (".docx", _DOCX, "document", "Hi there\na | b", "docx_text", None),
+    (".pptx", _PPTX, "document", "## Slide 1\nOne two\n## Slide 2", "pptx_text", None),
+    (".odt", _ODT, "document", "one two", "office_xml_text", None),
+    (".xlsx", _XLSX, "spreadsheet", _SHEET, "spreadsheet_tabular", None),
+    (".ods", _ODS, "spreadsheet", _SHEET, "spreadsheet_tabular", None),
+    *(("", magic + b"\0" * 99, "image", "\n".join(TRANSCRIPT), "mock", None) for magic in IMAGE_MAGIC),
+)
+
+
+def _value(x: str | None) -> str:
+    return "CAST(NULL AS VARCHAR)" if x is None else _q(x)
+
+
+_FILES_SQL = ", ".join(f"({i}, {', '.join(map(_value, f[2:]))})" for i, f in enumerate(_FILES))
+
+
+@_query(f"SELECT c_custkey AS id, kind, text, method, error, CAST(length(text) AS BIGINT) AS char_count FROM customer JOIN (VALUES {_FILES_SQL}) AS f(i, kind, text, method, error) ON c_custkey % {len(_FILES)} = i")
+def converted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in several encodings and containers, images, blank ones and ones of no known kind."""
+    at = (F.col("c_custkey") % len(_FILES)).cast("int")
+    of = lambda j: F.get(F.array(*[F.lit(f[j]) for f in _FILES]), at)
+    files = table(spark, sf_dir, "customer").select(F.concat(F.lit("in/"), F.col("c_custkey"), of(0)).alias("path"), of(1).alias("content"), of(0).alias("suffix"))
+    return converted(files).select(F.regexp_extract("filename", "^[0-9]+", 0).cast("long").alias("id"), "kind", "text", F.col("extraction_method").alias("method"), "error", "char_count")
+
+
+@_query("SELECT event_id, event_type AS value, CAST(1.0 AS DOUBLE) AS confidence, '' AS context FROM events WHERE event_id % 3 < 2 UNION ALL SELECT event_id, 'Y', 0.75, 'c' FROM events WHERE event_id % 3 < 2")
+def named_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names out of answers that call their list one thing or the other, and out of one without any."""
+    k = F.col("event_id") % 3
+    body = F.concat(F.lit('": [{"value": " '), F.col("event_type"), F.lit(' ", "confidence": 2}, {"value": " "}, 7, {"value": "Y", "confidence": "sure", "context": "c"}]}'))
+    said = F.when(k < 2, F.concat(F.when(k == 0, '{"names').otherwise('{"findings'), body)).otherwise('{"names": "none"}')
+    rows = table(spark, sf_dir, "events").select("event_id", F.explode(recovery.names_of(recovery.json_of(said))).alias("f"))
+    return rows.select("event_id", "f.value", "f.confidence", "f.context")
+
+
+@_query("""
+SELECT event_id, CASE WHEN whole THEN CAST(0.25 AS DOUBLE) ELSE 0 END AS agreement, whole AS accepted, CASE WHEN whole THEN 'mail/' || event_type ELSE '' END AS missing,
+       CASE WHEN whole THEN 'a,b' ELSE '' END AS false_positives, CASE WHEN whole THEN 'more' ELSE '' END AS feedback, CASE WHEN whole THEN 'x/PHONE' ELSE '' END AS wrong_kind
+FROM (SELECT event_id, event_type, event_id % 2 = 0 AS whole FROM events)
+""")
+def critiques_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews out of answers that say all and nothing."""
+    whole = F.concat(F.lit('{"agreement_score": 0.25, "accept": true, "missing": [{"kind": "mail", "value": "'), F.col("event_type"), F.lit('"}, 3], "false_positives": [{"value": "a"}, "b"], "feedback": ["more"], "wrong_kind": [{"value": "x", "correct_kind": "PHONE"}]}'))
+    said = F.when(F.col("event_id") % 2 == 0, whole).otherwise('{"missing": "nothing"}')
+    c = F.col("c")
+    pairs = lambda a: F.array_join(F.transform(a, lambda m: F.concat(m["kind"], F.lit("/"), m["value"])), ",")
+    wrong = F.array_join(F.transform(c["wrong_kind"], lambda w: F.concat(w["value"], F.lit("/"), w["kind"])), ",")
+    rows = table(spark, sf_dir, "events").select("event_id", recovery.critique_of(said).alias("c"))
+    return rows.select("event_id", "c.agreement", "c.accepted", pairs(c["missing"]).alias("missing"), F.array_join(c["false_positives"], ",").alias("false_positives"), F.array_join(c["feedback"], ",").alias("feedback"), wrong.alias("wrong_kind"))
+
+
+@_query("SELECT c_custkey AS id, 'Round ' || c_custkey || ' of {{all}}: ' || c_name || ', ' || c_name AS prompt FROM customer")
+def prompts_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filled = text.rendered(F.lit("Round {{n}} of {{all}}: {{name}}, {{name}}"), {"n": F.col("c_custkey"), "name": F.col("c_name")})
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), filled.alias("prompt"))
+
+
+@_query("""
+SELECT CAST(c_custkey AS VARCHAR) AS job_id, 'result' AS artifact, '{}' AS opened FROM customer
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'report', c_name FROM customer
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'cleaned_text', c_mktsegment FROM customer WHERE c_custkey % 2 = 1
+""")
+def artifacts_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is kept of each job, opened again; half of the jobs have no cleaned text."""
+    k = F.col("c_custkey")
+    jobs = table(spark, sf_dir, "customer").select(k.cast("string").alias("job_id"), F.when(k % 2 == 1, F.col("c_mktsegment")).otherwise("").alias("cleaned_text"), F.col("c_name").alias("report_md"), F.lit("{}").alias("result_json"), F.lit("2024-01-01").cast("timestamp").alias("created_at"))
+    return vault.artifacts(jobs, KEY).select("job_id", "artifact", vault.decrypted(F.col("ciphertext"), KEY).cast("string").alias("opened"))
+
+
 _SUFFIXES = ("", ".txt", ".xlsx", ".docx", ".png", ".bin", ".pdf", ".md")
 
 
