@@ -8,9 +8,18 @@ from pyspark.sql import functions as F
 from ..functions.masking import audit
 
 
+def _each(rows: DataFrame, array: Column | str, name: str) -> DataFrame:
+    """The elements of array, a row each.
+
+    For a plain explode Spark infers a filter on the array's size and pushes it
+    through all rounds of a review, its expression doubling in each.
+    """
+    return rows.select(F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def counts_by_kind(rows: DataFrame, changes: str = "changes") -> DataFrame:
     """(kind, occurrences, values, documents) over all rows; kinds are few, so the shuffle is tiny."""
-    flat = rows.select(F.explode(changes).alias("c"))
+    flat = _each(rows, changes, "c")
     return flat.groupBy("c.kind").agg(F.sum("c.occurrences").cast("long").alias("occurrences"), F.count("*").alias("documents"))
 
 
@@ -22,7 +31,7 @@ def rollup(rows: DataFrame, *by: str, changes: str = "changes") -> DataFrame:
 
 def collisions(plans: DataFrame, plan: str = "plan") -> DataFrame:
     """Placeholders that stand for several values: (placeholder, values)."""
-    flat = plans.select(F.explode(plan).alias("p")).select("p.placeholder", "p.value")
+    flat = _each(plans, plan, "p").select("p.placeholder", "p.value")
     return flat.groupBy("placeholder").agg(F.countDistinct("value").alias("values")).where("values > 1")
 
 

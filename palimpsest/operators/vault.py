@@ -31,9 +31,9 @@ def key_from_passphrase(passphrase: str, salt: bytes, rounds: int = 200_000) ->
     return base64.urlsafe_b64encode(hashlib.pbkdf2_hmac("sha256", passphrase.encode(), salt, rounds, dklen=32)).decode()
 
 
-def read_keys(*sources: str) -> list[str]:
-    """Keys from the lines of key files; lines that are empty or begin with # are passed over."""
-    keys = []
+def read_keys(*sources: str, inline: Sequence[str] = ()) -> list[str]:
+    """Keys given inline, then those from the lines of key files; lines that are empty or begin with # are passed over."""
+    keys = [k.strip() for k in inline]
     for path in sources:
         with open(path, encoding="utf-8") as f:
             keys += [s for line in f if (s := line.strip()) and not s.startswith("#")]
@@ -75,6 +75,19 @@ def decrypted(token: Column, key: str | None) -> Column:
     return F.when(fits, F.try_aes_decrypt(raw.substr(F.lit(10), n - 41), F.lit(secret), F.lit("CBC"), F.lit("PKCS")))
 
 
+def opened(files: DataFrame, key: str | None, suffix: str = ".enc") -> DataFrame:
+    """(path, content) of files (path, content: binary), decrypted; content is null where the key doesn't open it.
+
+    Of a file with the suffix and one of the same name without it the first
+    counts; path is the name without it.  Contents aren't shuffled if the names of
+    the files with the suffix fit a broadcast.
+    """
+    rows = files.select("path", "content")
+    sealed = rows.where(F.col("path").endswith(suffix)).withColumn("path", F.expr(f"left(path, length(path) - {len(suffix)})"))
+    plain = rows.where(~F.col("path").endswith(suffix)).join(sealed.select("path"), "path", "left_anti")
+    return sealed.unionAll(plain).select("path", decrypted(F.col("content").cast("string"), key).alias("content"))
+
+
 def artifacts(jobs: DataFrame, key: str | None, job: str = "job_id", cleaned: str = "cleaned_text", report: str = "report_md", result: str = "result_json", created: str = "created_at") -> DataFrame:
     """(job_id, artifact, ciphertext, created_at): result, report and, if there is any, cleaned text of each job, failed ones included."""
     parts = F.array(

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.findings import CRITIQUE, from_spans
 from ..functions.masking import accepted
+from ..functions.names import surname_hints
 from ..functions.recovery import critique_of, findings_of, json_of, names_of
 from ..functions.text import clip, rendered
 from ..sources.prompts import Prompt
@@ -55,6 +56,12 @@ def _answered(rows: DataFrame, model: Model, prompt: Prompt, body: Column) -> Da
     return asked(rows, model, prompt.system, body).withColumn("__answer", json_of(F.col("answer"))).drop("answer")
 
 
+def hinted(body: Column, validated: Column, most: int = 20) -> Column:
+    """A name prompt with what fiscal codes suggest of names, most hints of them, if there are any."""
+    hints = F.transform(F.slice(surname_hints(validated), 1, most), lambda h: F.concat(F.lit("\n- "), F.to_json(h)))
+    return F.when(F.size(hints) > 0, F.concat(body, F.lit("\n\nLetters of names in validated codes; report a name only if the document holds it:"), F.array_join(hints, ""))).otherwise(body)
+
+
 def detector(model: Model, prompt: Prompt, name_prompt: Prompt | None = None, text: str = "text") -> Callable[[DataFrame], DataFrame]:
     """A Detector that asks a model, and a second time for names; what fails leaves the scan's findings."""
 
@@ -68,7 +75,7 @@ def detector(model: Model, prompt: Prompt, name_prompt: Prompt | None = None, te
         rows = _answered(rows, model, prompt, body)
         out = rows.withColumn("found", F.when(F.col("__answer").isNull(), from_spans(F.col("validated"))).otherwise(findings_of(F.col("__answer"))))
         if name_prompt:
-            out = _answered(out, model, name_prompt, rendered(F.lit(name_prompt.template), {"document": clip(F.col(text), 40_000)}))
+            out = _answered(out, model, name_prompt, hinted(rendered(F.lit(name_prompt.template), {"document": clip(F.col(text), 40_000)}), F.col("validated")))
             out = out.withColumn("found", F.concat("found", names_of(F.col("__answer"))))
         return out.drop("__answer")
 

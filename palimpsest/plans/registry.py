@@ -14,6 +14,7 @@ from ..functions import checksums, findings, masking, names, patterns, recovery,
 from ..functions.pseudonyms import integrity_tag, pseudonym, sha256_hex
 from ..functions.scan import candidates, resolve_overlaps, scan
 from ..operators import audit, vault
+from ..sources import ingest
 from ..sources.files import IMAGE_MAGIC, TRANSCRIPT, converted, kind_of_file
 from .sanitise import Settings, audited, sanitised, trace
 from .sanitise import found as reviewed
@@ -522,7 +523,8 @@ def rounds_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rows.withColumn("critique", findings.agreed().withField("agreement", F.lit(0.5)).withField("accepted", F.col("round") > k % 4))
 
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.format_string("mail c%d@shop.example", k).alias("text"))
-    told = reviewed(rows, Settings(salt=SALT, max_rounds=3), reviewer=strict).select(k.alias("id"), "converged", F.explode("rounds").alias("r"))
+    # outer: a filter inferred for a plain explode would be pushed through all rounds, its expression doubling in each
+    told = reviewed(rows, Settings(salt=SALT, max_rounds=3), reviewer=strict).select(k.alias("id"), "converged", F.explode_outer("rounds").alias("r"))
     return told.select("id", "r.round", "r.detector_findings", "r.critic_agreement", "r.accepted", "converged")
 
 
@@ -634,6 +636,51 @@ def converted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return converted(files).select(F.regexp_extract("filename", "^[0-9]+", 0).cast("long").alias("id"), "kind", "text", F.col("extraction_method").alias("method"), "error", "char_count")
 
 
+_TRANSCRIPT_SQL = "replace(" + _q("\n".join(TRANSCRIPT)) + ", 'for 1 page', 'for ' || images || ' page')"
+
+
+@_query(f"""
+WITH f AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE '' END AS own, c_custkey % 3 AS images, c_custkey % 5 AS k FROM customer),
+r AS (
+  SELECT 'vision_offline' AS run, *, CASE WHEN images > 0 AND own = '' THEN 'T' WHEN images > 0 THEN 'M' WHEN own <> '' THEN 'O' ELSE 'T' END AS way, false AS w1, false AS w2 FROM f
+  UNION ALL SELECT 'vision_model', *, CASE WHEN images > 0 AND k = 0 THEN 'P' WHEN own <> '' THEN 'O' WHEN images > 0 AND k < 2 THEN 'B' ELSE 'N' END, images > 0 AND k >= 2, images > 0 AND k >= 2 AND own = '' FROM f
+  UNION ALL SELECT 'vision_none', *, CASE WHEN own <> '' THEN 'O' ELSE 'N' END, images > 0, images > 0 AND own = '' FROM f
+  UNION ALL SELECT 'text_model', *, CASE WHEN own <> '' THEN 'O' WHEN images > 0 AND k = 0 THEN 'P' WHEN images > 0 AND k = 1 THEN 'B' ELSE 'N' END, false, images > 0 AND k >= 2 AND own = '' FROM f
+), t AS (SELECT *, CASE way WHEN 'T' THEN {_TRANSCRIPT_SQL} WHEN 'P' THEN 'p1' || chr(10) || chr(10) || 'é2' WHEN 'O' THEN own WHEN 'M' THEN own ELSE '' END AS text FROM r)
+SELECT run, id, text, CASE WHEN way IN ('T', 'M') THEN 'mock' WHEN way IN ('P', 'B') THEN 'vision_llm' WHEN way = 'O' THEN 'plain_text' END AS method,
+       CASE WHEN run = 'vision_offline' AND images > 0 THEN {_q(ingest.OFFLINE)} WHEN way = 'P' AND run = 'vision_model' THEN 'vision model=m, pages=2' WHEN way = 'O' THEN {_q(ingest.FELL_BACK)} ELSE '' END AS notes,
+       concat_ws('; ', 'w', CASE WHEN w1 THEN CASE run WHEN 'vision_none' THEN {_q(ingest.NOT_SET)} ELSE {_q(ingest.FAILED + 'down')} END END, CASE WHEN w2 THEN {_q(ingest.FAILED_AGAIN)} || CASE run WHEN 'vision_none' THEN 'no vision model' ELSE 'down' END END, CASE WHEN way = 'N' THEN {_q(ingest.NOTHING)} END) AS warnings,
+       CAST(length(text) AS BIGINT) AS char_count, CAST(CASE way WHEN 'P' THEN 2 ELSE 1 END AS INTEGER) AS page_count
+FROM t
+""")
+def ingested_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with and without a text of their own and page images, whose pages a model reads, finds blank or fails on."""
+    k = F.col("c_custkey")
+    seen = F.when(k % 5 == 0, F.array(F.lit("p1 \n"), F.lit("é2"))).when(k % 5 == 1, F.array(F.lit(" ")))
+    rows = table(spark, sf_dir, "customer").select(
+        k.alias("doc_id"), F.when(k % 2 == 0, F.col("c_name")).alias("text"), (k % 3).cast("int").alias("page_images"), F.lit("plain_text").alias("extraction_method"), F.array(F.lit("w")).alias("warnings"), seen.alias("seen"),
+        F.lit("down").alias("why"), F.lit("f").alias("filename"), F.lit("image").alias("kind"), F.lit("image/png").alias("mime_type"),
+    )
+    model = {"offline": False, "seen": "seen", "why": "why", "model": "m"}
+    runs = {"vision_offline": {}, "vision_model": model, "vision_none": {"offline": False}, "text_model": model | {"strategy": "text_first"}}
+    out = None
+    for run, how in runs.items():
+        one = ingest.ingested(rows, **how).select(F.lit(run).alias("run"), "text", ingest.summary().alias("s"))
+        out = one if out is None else out.unionAll(one)
+    return out.select("run", F.col("s.doc_id").alias("id"), "text", F.col("s.extraction_method").alias("method"), F.array_join("s.extraction_notes", "; ").alias("notes"), F.array_join("s.warnings", "; ").alias("warnings"), "s.char_count", "s.page_count")
+
+
+@_query("SELECT 'a/' || c_custkey AS path, CASE WHEN c_custkey % 3 = 2 THEN c_mktsegment ELSE c_name END AS content FROM customer")
+def opened_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encrypted files with the suffix, without it, and both, of which the first counts."""
+    k = F.col("c_custkey")
+    rows = vault.encrypted(vault.encrypted(table(spark, sf_dir, "customer"), "c_name", KEY, "a"), "c_mktsegment", KEY, "b")
+    name = F.concat(F.lit("a/"), k)
+    plain = rows.where(k % 3 != 1).select(name.alias("path"), F.col("a").cast("binary").alias("content"))
+    sealed = rows.where(k % 3 != 0).select(F.concat(name, F.lit(".enc")).alias("path"), F.when(k % 3 == 2, F.col("b")).otherwise(F.col("a")).cast("binary").alias("content"))
+    return vault.opened(plain.unionAll(sealed), KEY).select("path", F.col("content").cast("string").alias("content"))
+
+
 @_query("SELECT event_id, event_type AS value, CAST(1.0 AS DOUBLE) AS confidence, '' AS context FROM events WHERE event_id % 3 < 2 UNION ALL SELECT event_id, 'Y', 0.75, 'c' FROM events WHERE event_id % 3 < 2")
 def named_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names out of answers that call their list one thing or the other, and out of one without any."""

@@ -129,4 +129,5 @@ def trace(rows: DataFrame, id: Column | str) -> DataFrame:
         step("mask", done, F.format_string("%d finding(s), %d distinct value(s) masked", n, F.col("total_masked"))),
     )
     failed = F.array(step("error", F.lit("failed"), F.col("error")))
-    return rows.select(id, F.posexplode(F.when(F.col("status") == "error", failed).otherwise(ok)).alias("seq", "t")).select(id, "seq", "t.*")
+    # outer, as in operators.audit
+    return rows.select(id, F.posexplode_outer(F.when(F.col("status") == "error", failed).otherwise(ok)).alias("seq", "t")).select(id, "seq", "t.*")

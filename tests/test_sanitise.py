@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from palimpsest.functions import findings as G
 from palimpsest.functions import masking as M
 from palimpsest.functions.names import names
-from palimpsest.operators.audit import counts_by_kind, report, rollup
-from palimpsest.plans.backends import detector, model_masked, reviewer
+from palimpsest.functions.scan import scan
+from palimpsest.operators.audit import collisions, counts_by_kind, report, rollup
+from palimpsest.plans.backends import detector, hinted, model_masked, reviewer
 from palimpsest.plans.sanitise import Settings, audited, found, sanitised, trace
 from palimpsest.sources.prompts import parse
 from tests.test_scan import CV
@@ -130,6 +131,12 @@ def test_model_rounds(spark):
     assert {("EMPLOYER", "Data Engineer"), ("ADDRESS", "Via Roma 42"), ("PHONE", "2019-2024"), ("PERSON", "Mario Rossi")} <= got
 
 
+def test_hints_of_the_name_prompt(spark):
+    docs = spark.createDataFrame([(1, "RSSMRA85C14F205Z"), (2, "none"), (3, " ".join(f"RSS{a}{b}A85C14F205Z" for a in "MABCDE" for b in "RSTUV"))], "doc_id int, text string")
+    got = {r.doc_id: r.b for r in docs.select("doc_id", hinted(F.lit("x"), scan(F.col("text"))).alias("b")).collect()}
+    assert got[2] == "x" and got[1].startswith("x\n") and '"surname_letters":"RSS","name_letters":"MRA"' in got[1] and got[3].count("surname_letters") == 20
+
+
 def test_a_failing_model_costs_nothing(spark, monkeypatch):
     monkeypatch.setattr("palimpsest.plans.backends.time.sleep", lambda s: None)
     docs = spark.createDataFrame([(1, "mail a@b.example")], "doc_id int, text string")
@@ -139,3 +146,11 @@ def test_a_failing_model_costs_nothing(spark, monkeypatch):
     leaky = model_masked(rows, lambda ps: ['{"cleaned_text": "mail a@b.example"}' for _ in ps], PROMPT).first()
     good = model_masked(rows, lambda ps: ['{"cleaned_text": "mail [X]"}' for _ in ps], PROMPT).first()
     assert re.fullmatch(r"mail \[EMAIL_[0-9A-F]{6}\]", leaky.cleaned_text) and good.cleaned_text == "mail [X]"
+
+
+def test_plans_of_many_rounds_stay_small(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.example"), (2, None)], "doc_id int, text string")
+    strict = lambda rows: rows.withColumn("critique", G.agreed().withField("agreement", F.lit(0.5)).withField("accepted", F.col("round") > 2))
+    rows = sanitised(docs, Settings(salt="s", max_rounds=3), reviewer=strict)
+    for out, want in ((counts_by_kind(rows), 1), (collisions(rows), 0), (trace(rows, "doc_id"), 7)):
+        assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 500_000 and out.count() == want

@@ -11,6 +11,7 @@ from palimpsest.functions.recovery import critique_of, findings_of, json_of
 from palimpsest.operators import vault as V
 from palimpsest.sources import prompts
 from palimpsest.sources.files import converted, documents, read_files
+from palimpsest.sources.ingest import NOT_SET, NOTHING, ingested
 from palimpsest.streaming import streams
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -108,6 +109,21 @@ def test_payloads(spark):
     assert r.c.agreement == 0.0 and not r.c.accepted and r.c.missing == [] and r.n == []
 
 
+def test_keys(tmp_path):
+    (tmp_path / "k").write_text("# old\n\n a \nb\n")
+    assert V.read_keys(str(tmp_path / "k"), inline=[" x "]) == ["x", "a", "b"]
+
+
+def test_ingestion_of_nothing(spark):
+    rows = spark.createDataFrame([(None, None, None, None), ("e\u0301-\nx  \n", 2, "plain_text", [])], "text string, page_images int, extraction_method string, warnings array<string>")
+    got = sorted(ingested(rows, offline=False).collect(), key=lambda r: r.char_count)
+    assert (got[0].text, got[0].extraction_method, got[0].warnings, got[0].page_count) == ("", None, [NOTHING], 1)
+    assert (got[1].text, got[1].extraction_method, got[1].warnings) == ("éx", "plain_text", [NOT_SET])
+    assert "for 0 page image(s)" in ingested(rows.limit(1)).first().text
+    with pytest.raises(ValueError):
+        ingested(rows, "both")
+
+
 def test_prompt_files(tmp_path):
     (tmp_path / "b.md").write_text("## Body\nhi")
     (tmp_path / "a.md").write_text("## Body\nho")
