@@ -6,6 +6,11 @@ random hyperplanes.  Signs of two vectors at a cosine c agree with probability
 the share of links that may be missed.  Vectors that share a bucket are compared
 exactly, in double precision; components of the links are found in a distributed
 way.
+
+Near copies share many buckets, so buckets are brought together before vectors
+move: those with the same smallest member have one home, a vector travels to a home
+once, and a home holds at most one bucket of each table.  Larger buckets are
+compared in blocks.
 """
 
 from __future__ import annotations
@@ -14,7 +19,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._blocks import in_blocks, shared_keys, spanning
@@ -24,13 +30,15 @@ from .components import components
 
 #: Probability with which a pair right at the threshold is missed.
 MISSED = 1e-5
-#: Vectors of a block.
+#: Vectors of a block; larger buckets are dealt to blocks.
 BLOCK = 512
+#: Members, counted once for each bucket, after which a home's next buckets get a place of their own.
+HOME = 16 * BLOCK
 
 
 def plan_tables(n: int, cosine: float, missed: float = MISSED) -> tuple[int, int]:
     """(bits, tables): buckets of unrelated vectors stay mostly single as n grows, and recall stays the same."""
-    bits = min(max(math.ceil(math.log2(max(n, 2))) + 4, 10), 48)
+    bits = min(max(math.ceil(math.log2(max(n, 2))) + 6, 10), 48)
     agree = 1 - math.acos(cosine) / math.pi
     return bits, math.ceil(math.log(missed) / math.log(1 - agree**bits))
 
@@ -50,8 +58,12 @@ def _codes(x: np.ndarray, bits: int, tables: int, first: int | None = None) -> n
     planes = hyperplanes(x.shape[1], bits * tables)
     tables = tables if first is None else first
     weight = (np.uint64(1) << np.arange(bits, dtype=np.uint64))[None, None, :]
-    sign = (x @ planes[:, : tables * bits] > 0).reshape(len(x), tables, bits)
-    return (sign * weight).sum(-1, dtype=np.uint64)
+    out = np.empty((len(x), tables), np.uint64)
+    step = max(1, (1 << 21) // (tables * bits))
+    for at in range(0, len(x), step):
+        sign = (x[at : at + step] @ planes[:, : tables * bits] > 0).reshape(-1, tables, bits)
+        out[at : at + step] = (sign * weight).sum(-1, dtype=np.uint64)
+    return out
 
 
 def _matrix(column: pa.Array, kind: type) -> np.ndarray:
@@ -118,9 +130,82 @@ def near_duplicates(table: DataFrame, id: str = "vec_id", vector: str = "embeddi
     index = park(shared_keys(classes.select("id", "dim", "vec").mapInArrow(keys, "key long, id long, t int")), "index")
     # of buckets with the same members one is enough: the first, as that is where their pairs count
     members = [F.sum(F.xxhash64(F.lit(k), "id").cast("decimal(20,0)")).alias(f"m{k}") for k in (1, 2)]
-    buckets = index.groupBy("key").agg(F.count("*").alias("rest"), F.min("t").alias("t"), *members).where("rest > 1")
-    sizes = park(buckets.groupBy("rest", "m1", "m2").agg(F.min(F.struct("t", "key")).alias("first")).select("first.key", "rest", F.lit(0).cast("long").alias("big")), "buckets")
-    entries = index.join(small(sizes.select("key")), "key", "left_semi").join(classes.select("id", "copies", "vec"), "id").select("key", "t", "id", "copies", "vec")
+    buckets = index.groupBy("key").agg(F.count("*").alias("rest"), F.min("t").alias("t"), F.min("id").alias("home"), *members).where("rest > 1")
+    first = buckets.groupBy("rest", "m1", "m2").agg(F.min(F.struct("t", "key", "home")).alias("first")).select("first.*", "rest")
+    before = F.sum("rest").over(Window.partitionBy("home", F.col("rest") > BLOCK).orderBy("t")) - F.col("rest")
+    sizes = park(first.select("key", "rest", F.lit(0).cast("long").alias("big"), "home", F.floor(before / HOME).cast("int").alias("part")), "buckets")
+    large = sizes.where(F.col("rest") > BLOCK).select("key", "rest", "big")
+    entries = index.join(small(large.select("key")), "key", "left_semi").join(classes.select("id", "copies", "vec"), "id").select("key", "t", "id", "copies", "vec")
+    # a row for each vector and home; its tables are bounded, as a home holds one bucket of a table
+    housed = index.join(small(sizes.where(F.col("rest") <= BLOCK).select("key", "home", "part")), "key").groupBy("home", "part", "id").agg(F.collect_list("t").alias("ts"))
+    housed = housed.join(classes.select("id", "copies", "vec"), "id").select("home", "part", "id", "ts", "copies", "vec")
+
+    def share_first(code: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The first table in which rows i and j share a bucket, for each two."""
+        out = np.empty(len(i), np.int64)
+        for at in range(0, len(i), 1 << 14):
+            out[at : at + (1 << 14)] = (code[i[at : at + (1 << 14)]] == code[j[at : at + (1 << 14)]]).argmax(1)
+        return out
+
+    def at_home(ids: np.ndarray, copies: np.ndarray, x: np.ndarray, norm: np.ndarray, there: np.ndarray) -> pa.RecordBatch | None:
+        """The links of a home; there tells in which of its tables a row is."""
+        links, every = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        up = every[:0], every[:0]
+        code = None
+        for at in range(0, len(ids), BLOCK):
+            cos = (x[at : at + BLOCK] @ x[at:].T) / norm[at : at + BLOCK, None] / norm[None, at:]
+            i, j = np.nonzero(cos >= cosine)
+            i, j = i[i < j] + at, j[i < j] + at
+            ok = np.zeros(len(i), bool)
+            if len(i):
+                code = _codes(x, bits, tables) if code is None else code
+                # a pair counts in the first bucket that it shares, in whichever home that is
+                t = share_first(code, i, j)
+                ok = there[i, t] & there[j, t]
+            i, j = i[ok], j[ok]
+            if len(i):
+                np.add.at(links, i, copies[j])
+                np.add.at(links, j, copies[i])
+                root = spanning(every, np.concatenate([up[0], i]), np.concatenate([up[1], j]))
+                up = np.flatnonzero(root != every), root[root != every]
+        own = np.flatnonzero(links)
+        if not len(own):
+            return None
+        root = every.copy()
+        root[up[0]] = up[1]
+        return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(links[own]), pa.array(ids[root[own]])], ["id", "links", "root"])
+
+    def homes(t: pa.Table):
+        """The links of whole homes, one after another; all vectors of a home have one dimension."""
+        size = pc.binary_length(t["vec"]).to_numpy()
+        for d in np.unique(size).tolist():
+            g = t.filter(pa.array(size == d)).combine_chunks()
+            ids, copies, x = g["id"].to_numpy(), g["copies"].to_numpy(), _matrix(g["vec"], kind)
+            norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+            ts = g["ts"].combine_chunks()
+            there = np.zeros((len(ids), tables), bool)
+            there[np.repeat(np.arange(len(ids)), pc.list_value_length(ts).to_numpy()), ts.flatten().to_numpy()] = True
+            ends = [0, *starts_of(g).tolist(), len(ids)]
+            for a, e in zip(ends, ends[1:]):
+                if e - a > 1 and (out := at_home(ids[a:e], copies[a:e], x[a:e], norm[a:e], there[a:e])) is not None:
+                    yield out
+
+    def starts_of(t: pa.Table) -> np.ndarray:
+        home, part = t["home"].to_numpy(), t["part"].to_numpy()
+        return np.flatnonzero((home[1:] != home[:-1]) | (part[1:] != part[:-1])) + 1
+
+    def in_homes(batches):
+        held = None
+        for b in batches:
+            if b.num_rows:
+                t = pa.Table.from_batches([b])
+                t = t if held is None else pa.concat_tables([held, t])
+                starts = starts_of(t)
+                whole = int(starts[-1]) if len(starts) else 0
+                yield from homes(t.slice(0, whole))
+                held = t.slice(whole)
+        if held is not None:
+            yield from homes(held)
 
     def compare(g: pa.Table, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch | None:
         ids, copies, t = g["id"].to_numpy(), g["copies"].to_numpy(), g["t"][0].as_py()
@@ -134,12 +219,8 @@ def near_duplicates(table: DataFrame, id: str = "vec_id", vector: str = "embeddi
         if not len(i):
             return None
         # a pair that shares several buckets counts in the first of them
-        own = np.unique(np.concatenate([i, j]))
-        code = _codes(x[own], bits, tables, t + 1)
-        same = np.zeros(len(i), bool)
-        for at in range(0, len(i), 1 << 14):
-            a, b = (np.searchsorted(own, k[at : at + (1 << 14)]) for k in (i, j))
-            same[at : at + (1 << 14)] = (code[a, t] == code[b, t]) & ~(code[a, :t] == code[b, :t]).any(1)
+        own, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        same = share_first(_codes(x[own], bits, tables, t + 1), at[: len(i)], at[len(i) :]) == t
         i, j = i[same], j[same]
         if not len(i):
             return None
@@ -150,7 +231,9 @@ def near_duplicates(table: DataFrame, id: str = "vec_id", vector: str = "embeddi
         own = np.flatnonzero(links)
         return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(links[own]), pa.array(root[own])], ["id", "links", "root"])
 
-    found = park(in_blocks(entries, sizes, compare, "id long, links long, root long", block=BLOCK), "links")
+    schema = "id long, links long, root long"
+    housed = housed.repartition("home", "part").sortWithinPartitions("home", "part").mapInArrow(in_homes, schema)
+    found = park(housed.unionAll(in_blocks(entries, large, compare, schema, block=BLOCK)), "links")
     comp = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     # a component is called by the smallest id of its rows
     named = classes.select("id", "doc", *set_of, "copies").join(small(comp), "id", "left").withColumn("component", F.coalesce("component", "id"))

@@ -146,8 +146,10 @@ def vectors():
     return out + [(n + k, v) for k, v in enumerate(odd)]
 
 
-def test_vectors(spark, monkeypatch):
+@pytest.mark.parametrize("home", [1, 40, cosine_dedup.HOME])
+def test_vectors(spark, monkeypatch, home):
     monkeypatch.setattr(cosine_dedup, "BLOCK", 16)
+    monkeypatch.setattr(cosine_dedup, "HOME", home)
     rows = vectors()
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, kept int")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in cosine_dedup.near_duplicates(df).collect()}
