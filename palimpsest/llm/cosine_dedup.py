@@ -32,8 +32,8 @@ from .components import components
 MISSED = 1e-5
 #: Vectors of a block; larger buckets are dealt to blocks.
 BLOCK = 512
-#: Members, counted once for each bucket, after which a home's next buckets get a place of their own.
-HOME = 16 * BLOCK
+#: Members, counted once for each bucket, after which the next buckets of a home get a place of their own, so none holds much more than two blocks.
+HOME = 2 * BLOCK
 
 
 def plan_tables(n: int, cosine: float, missed: float = MISSED) -> tuple[int, int]:
