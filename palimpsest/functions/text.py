@@ -104,3 +104,8 @@ def completion_budget(text: Column, requested: int, window: int, margin: int = 2
         return F.lit(requested)
     room = F.lit(window - margin) - estimated_tokens(text)
     return F.when(room >= requested, F.lit(requested)).otherwise(F.greatest(F.lit(least), room))
+
+
+def oversized(text: Column, requested: int, window: int) -> Column:
+    """True if prompt and answer may not fit the window; never if no window is known."""
+    return F.lit(False) if window <= 0 else estimated_tokens(text) + requested > window

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.masking import audit
@@ -35,6 +35,29 @@ def collisions(plans: DataFrame, plan: str = "plan") -> DataFrame:
     return flat.groupBy("placeholder").agg(F.countDistinct("value").alias("values")).where("values > 1")
 
 
+def gauges(jobs: DataFrame, status: str = "status") -> DataFrame:
+    """One row: jobs, and how many of them are pending, processing, done and error; zeros for none."""
+    return jobs.agg(F.count("*").alias("jobs"), *[F.count_if(F.col(status) == s).alias(s) for s in ("pending", "processing", "done", "error")])
+
+
+def observed(rows: DataFrame, as_it_goes: Observation | str) -> DataFrame:
+    """rows of sanitised(), which tell documents, errors and replacements when an action ends, or a stream's listener at each trigger."""
+    total = F.coalesce(F.sum(F.col("total_masked")), F.lit(0)).cast("long")
+    return rows.observe(as_it_goes, F.count("*").alias("documents"), F.count_if(F.col("status") == "error").alias("errors"), total.alias("values_masked"))
+
+
+def counts_in_order(counts: Column) -> Column:
+    """A map of kind to count as an array of (kind, n), the largest first; of equal ones the first of the map."""
+    entries = F.array_sort(F.transform(F.map_entries(counts), lambda e, i: F.struct((-e["value"]).alias("less"), i.alias("i"), e["key"].alias("kind"))))
+    return F.transform(entries, lambda e: F.struct(e["kind"].alias("kind"), (-e["less"]).alias("n")))
+
+
+def changes_in_order(changes: Column) -> Column:
+    """Changes by kind, then placeholder; null sorts as an empty text, and equal ones stay in order."""
+    first = lambda c, f: F.coalesce(c[f], F.lit("")).alias(f"by_{f}")
+    return F.transform(F.array_sort(F.transform(changes, lambda c, i: F.struct(first(c, "kind"), first(c, "placeholder"), i.alias("i"), c.alias("c")))), lambda x: x["c"])
+
+
 def report(job: Column, status: Column, filename: Column, kind: Column, method: Column, chars: Column, rounds: Column, seconds: Column, changes: Column, by_kind: Column, warnings: Column) -> Column:
     """A Markdown report of a row that shows no value, only previews."""
     text = lambda c: F.coalesce(c.cast("string"), F.lit("n/a"))

@@ -22,8 +22,8 @@ from ..functions.text import clip, rendered
 from ..sources.prompts import Prompt
 
 Model = Callable[[list[tuple[str, str]]], list[str]]
-#: Characters of a document that a prompt holds; the scan sees all of it anyway.
-WINDOW = 60_000
+# Characters of a document that a prompt holds; the scan sees all of it anyway.
+WINDOW, NAME_WINDOW = 60_000, 40_000
 
 
 def asked(rows: DataFrame, model: Model, system: str, prompt: Column, batch: int = 16, retries: int = 2) -> DataFrame:
@@ -62,31 +62,35 @@ def hinted(body: Column, validated: Column, most: int = 20) -> Column:
     return F.when(F.size(hints) > 0, F.concat(body, F.lit("\n\nLetters of names in validated codes; report a name only if the document holds it:"), F.array_join(hints, ""))).otherwise(body)
 
 
-def detector(model: Model, prompt: Prompt, name_prompt: Prompt | None = None, text: str = "text") -> Callable[[DataFrame], DataFrame]:
-    """A Detector that asks a model, and a second time for names; what fails leaves the scan's findings."""
+def _clipped(text: str, window: int | None) -> Column:
+    return F.col(text) if window is None else clip(F.col(text), window)
+
+
+def detector(model: Model, prompt: Prompt, name_prompt: Prompt | None = None, text: str = "text", window: int | None = WINDOW, name_window: int | None = NAME_WINDOW) -> Callable[[DataFrame], DataFrame]:
+    """A Detector that asks a model, and a second time for names; what fails leaves the scan's findings.  A window of None shows it whole texts."""
 
     def run(rows: DataFrame) -> DataFrame:
         said = F.array_join(F.transform("feedback", lambda f: F.concat(F.lit("\n- "), f)), "")
         before = F.array_join(F.transform(F.slice(F.array_sort(F.array_distinct(F.transform("findings", lambda f: f["value"]))), 1, 80), lambda v: F.concat(F.lit("\n- "), v)), "")
         body = F.concat(
-            rendered(F.lit(prompt.template), {"document": clip(F.col(text), WINDOW)}), F.when(said != "", F.concat(F.lit("\n\nFeedback on the last round:"), said)).otherwise(F.lit("")),
+            rendered(F.lit(prompt.template), {"document": _clipped(text, window)}), F.when(said != "", F.concat(F.lit("\n\nFeedback on the last round:"), said)).otherwise(F.lit("")),
             F.when(before != "", F.concat(F.lit("\n\nReported before, keep what is right:"), before)).otherwise(F.lit("")),
         )
         rows = _answered(rows, model, prompt, body)
         out = rows.withColumn("found", F.when(F.col("__answer").isNull(), from_spans(F.col("validated"))).otherwise(findings_of(F.col("__answer"))))
         if name_prompt:
-            out = _answered(out, model, name_prompt, hinted(rendered(F.lit(name_prompt.template), {"document": clip(F.col(text), 40_000)}), F.col("validated")))
+            out = _answered(out, model, name_prompt, hinted(rendered(F.lit(name_prompt.template), {"document": _clipped(text, name_window)}), F.col("validated")))
             out = out.withColumn("found", F.concat("found", names_of(F.col("__answer"))))
         return out.drop("__answer")
 
     return run
 
 
-def reviewer(model: Model, prompt: Prompt, text: str = "text", max_rounds: int = 3) -> Callable[[DataFrame], DataFrame]:
+def reviewer(model: Model, prompt: Prompt, text: str = "text", max_rounds: int = 3, window: int | None = WINDOW) -> Callable[[DataFrame], DataFrame]:
     """A Reviewer that asks a model; a failed review accepts nothing and rejects nothing."""
 
     def run(rows: DataFrame) -> DataFrame:
-        body = rendered(F.lit(prompt.template), {"document": clip(F.col(text), WINDOW), "findings": F.to_json("findings"), "validated": F.to_json("validated"), "round_index": F.col("round"), "max_rounds": F.lit(max_rounds)})
+        body = rendered(F.lit(prompt.template), {"document": _clipped(text, window), "findings": F.to_json("findings"), "validated": F.to_json("validated"), "round_index": F.col("round"), "max_rounds": F.lit(max_rounds)})
         rows = _answered(rows, model, prompt, body).withColumn("__answer", F.coalesce("__answer", F.lit("{}")))
         # read back from JSON: fields of a struct made here would each be written out with the whole recovery
         said = F.from_json(F.to_json(critique_of(F.col("__answer"))), CRITIQUE, {"mode": "PERMISSIVE"})
@@ -95,10 +99,11 @@ def reviewer(model: Model, prompt: Prompt, text: str = "text", max_rounds: int =
     return run
 
 
-def model_masked(rows: DataFrame, model: Model, prompt: Prompt, text: str = "text") -> DataFrame:
+def model_masked(rows: DataFrame, model: Model, prompt: Prompt, text: str = "text", window: int | None = WINDOW) -> DataFrame:
     """rows of sanitised() whose cleaned_text is the model's where that holds no planned value; a clipped text is never given to it."""
     body = rendered(F.lit(prompt.template), {"document": F.col(text), "plan": F.to_json("plan")})
-    rows = _answered(rows, model, prompt, F.when(F.length(text) <= WINDOW, body))
+    whole = F.lit(True) if window is None else F.length(text) <= window
+    rows = _answered(rows, model, prompt, F.when(whole, body))
     rows = rows.withColumn("__said", F.try_variant_get(F.try_parse_json("__answer"), "$.cleaned_text", "string")).drop("__answer")
-    fits = (F.length(text) <= WINDOW) & F.col("__said").isNotNull()
+    fits = whole & F.col("__said").isNotNull()
     return rows.withColumn("cleaned_text", F.when(fits, accepted(F.col("__said"), F.col("cleaned_text"), F.col("plan"))).otherwise(F.col("cleaned_text"))).drop("__said")

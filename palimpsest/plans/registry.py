@@ -14,7 +14,7 @@ from ..functions import checksums, findings, masking, names, patterns, recovery,
 from ..functions.pseudonyms import integrity_tag, pseudonym, sha256_hex
 from ..functions.scan import candidates, resolve_overlaps, scan
 from ..operators import audit, vault
-from ..sources import ingest
+from ..sources import ingest, vision
 from ..sources.files import IMAGE_MAGIC, TRANSCRIPT, converted, kind_of_file
 from .sanitise import Settings, audited, sanitised, trace
 from .sanitise import found as reviewed
@@ -391,6 +391,48 @@ def rollup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.rollup(_masked_documents(spark, sf_dir).withColumn("changes", F.col("m.changes")), "lang", "source")
 
 
+@_query("""
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY n DESC, i) - 1 AS INTEGER) AS pos, kind, n FROM (
+  SELECT c_custkey AS id, 0 AS i, 'PHONE' AS kind, c_custkey % 5 AS n FROM customer
+  UNION ALL SELECT c_custkey, 1, 'EMAIL', c_custkey % 3 FROM customer UNION ALL SELECT c_custkey, 2, 'IBAN', 2 FROM customer)
+""")
+def counts_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by kind, the largest first, often equal."""
+    k = F.col("c_custkey").cast("long")
+    counts = F.create_map(F.lit("PHONE"), k % 5, F.lit("EMAIL"), k % 3, F.lit("IBAN"), F.lit(2).cast("long"))
+    rows = table(spark, sf_dir, "customer").select(k.alias("id"), F.posexplode(audit.counts_in_order(counts)).alias("pos", "c"))
+    return rows.select("id", "pos", "c.kind", "c.n")
+
+
+@_query("""
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY kind, placeholder, i) - 1 AS INTEGER) AS pos, kind, placeholder, original FROM (
+  SELECT c_custkey AS id, 0 AS i, 'PHONE' AS kind, c_mktsegment AS placeholder, 'a' AS original FROM customer
+  UNION ALL SELECT c_custkey, 1, 'EMAIL', c_mktsegment, 'b' FROM customer UNION ALL SELECT c_custkey, 2, 'EMAIL', 'HOUSEHOLD', 'c' FROM customer)
+""")
+def changes_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes by kind and placeholder, some of them equal."""
+    one = lambda kind, placeholder, original: F.struct(F.lit(kind).alias("kind"), placeholder.alias("placeholder"), F.lit(original).alias("original"))
+    changes = F.array(one("PHONE", F.col("c_mktsegment"), "a"), one("EMAIL", F.col("c_mktsegment"), "b"), one("EMAIL", F.lit("HOUSEHOLD"), "c"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.posexplode(audit.changes_in_order(changes)).alias("pos", "c"))
+    return rows.select("id", "pos", "c.kind", "c.placeholder", "c.original")
+
+
+@_query("""
+SELECT count(*) AS jobs, count(*) FILTER (WHERE o_orderkey % 7 = 0) AS pending, count(*) FILTER (WHERE o_orderkey % 7 IN (1, 2)) AS processing,
+       count(*) FILTER (WHERE o_orderkey % 7 > 3) AS done, count(*) FILTER (WHERE o_orderkey % 7 = 3) AS error FROM orders
+""")
+def gauges_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as jobs in several states."""
+    k = F.col("o_orderkey") % 7
+    return audit.gauges(table(spark, sf_dir, "orders").select(F.when(k == 0, "pending").when(k < 3, "processing").when(k == 3, "error").otherwise("done").alias("status")))
+
+
+@_query("SELECT doc_id, greatest(1, length(text) // 4) + 1500 > 2000 AS oversized FROM documents WHERE text IS NOT NULL")
+def oversized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose prompt and answer may not fit a window."""
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", text.oversized(F.col("text"), 1500, 2000).alias("oversized"))
+
+
 _ANSWERS = (" \n", "call {name} back", "call the client back")
 
 
@@ -670,6 +712,28 @@ def ingested_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("run", F.col("s.doc_id").alias("id"), "text", F.col("s.extraction_method").alias("method"), F.array_join("s.extraction_notes", "; ").alias("notes"), F.array_join("s.warnings", "; ").alias("warnings"), "s.char_count", "s.page_count")
 
 
+@_query("""
+SELECT c_custkey AS id, CAST(CASE c_custkey % 4 WHEN 2 THEN 2 WHEN 3 THEN 0 ELSE 1 END AS INTEGER) AS page_images,
+       CASE c_custkey % 4 WHEN 0 THEN c_name || ' 1/1' WHEN 2 THEN c_name || ' 1/2;' || c_name || ' 2/2' WHEN 3 THEN '' END AS seen, CASE c_custkey % 4 WHEN 1 THEN 'ValueError: illegible' END AS why
+FROM customer
+""")
+def seen_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of one page, one that can't be read, containers of two pages, and texts, read by a stand-in for a model."""
+
+    def render(raw: bytes, kind: str) -> list[bytes]:
+        return [raw] * (2 if kind == "pdf" else kind == "image")
+
+    def model(pages: list[tuple[str, bytes]]) -> list[str]:
+        if pages[0][1] == b"?":
+            raise ValueError("illegible")
+        return [f" {image.decode()} {prompt} " for prompt, image in pages]
+
+    k = F.col("c_custkey") % 4
+    files = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(k == 1, "?").otherwise(F.col("c_name")).cast("binary").alias("content"), F.when(k == 3, "text").when(k == 2, "pdf").otherwise("image").alias("kind"))
+    rows = vision.read_by(vision.with_pages(files, render), model, "{page}/{total}", retries=0)
+    return rows.select("id", "page_images", F.array_join("seen", ";").alias("seen"), "why")
+
+
 @_query("SELECT 'a/' || c_custkey AS path, CASE WHEN c_custkey % 3 = 2 THEN c_mktsegment ELSE c_name END AS content FROM customer")
 def opened_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encrypted files with the suffix, without it, and both, of which the first counts."""

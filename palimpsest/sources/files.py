@@ -6,6 +6,7 @@ import io
 import mimetypes
 import re
 import zipfile
+from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -22,9 +23,7 @@ DOCUMENT = (".docx", ".odt", ".pptx", ".epub")
 ALLOWED = (*TEXT, *IMAGE, *SHEET, *DOCUMENT, ".pdf")
 # The first bytes of images.
 IMAGE_MAGIC = (b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff", b"GIF87a", b"GIF89a", b"BM", b"II*\x00", b"MM\x00*", b"RIFF")
-# Caps on characters, rows and parts.
 MAX_BYTES = 25 << 20
-TEXT_CHARS, OFFICE_CHARS, SHEET_ROWS, OFFICE_PARTS = 400_000, 200_000, 200, 40
 # What offline mode puts in place of an image's text.
 TRANSCRIPT = (
     "# (mock transcript)", "", "Mock mode produced no OCR text for 1 page image(s).", "", "## Sample Record", "", "| Field | Value |", "| --- | --- |", "| Full name | Mario Rossi |",
@@ -33,6 +32,22 @@ TRANSCRIPT = (
 )
 
 
+@dataclass(frozen=True)
+class Caps:
+    """How much of a file is kept; None keeps all of it.  A warning or a note in the text tells of what was left out."""
+
+    # The caps on characters, rows, parts and pages.
+    text_chars: int | None = 400_000
+    office_chars: int | None = 200_000
+    sheet_rows: int | None = 200
+    office_parts: int | None = 40
+    pdf_pages: int | None = 15
+
+
+#: Whole files, whatever their size.
+NO_CAPS = Caps(None, None, None, None, None)
+
+
 def suffix_of(path: Column) -> Column:
     """The last suffix of a path's name, in lower case with its dot; empty if there is none."""
     name = F.element_at(F.split(path, "/"), -1)
@@ -108,20 +123,20 @@ def _slides(z: zipfile.ZipFile) -> str:
     return "\n".join(out)
 
 
-def _parts(z: zipfile.ZipFile) -> str:
-    names = [n for n in z.namelist() if n.endswith((".xml", ".html", ".txt"))][:OFFICE_PARTS]
+def _parts(z: zipfile.ZipFile, caps: Caps) -> str:
+    names = [n for n in z.namelist() if n.endswith((".xml", ".html", ".txt"))][: caps.office_parts]
     flat = (re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", z.read(n).decode("utf-8", "ignore"))).strip() for n in names)
-    return "\n".join(t for t in flat if t)[:OFFICE_CHARS]
+    return "\n".join(t for t in flat if t)[: caps.office_chars]
 
 
-def _office(raw: bytes, suffix: str) -> tuple[str, str, str]:
+def _office(raw: bytes, suffix: str, caps: Caps) -> tuple[str, str, str]:
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         names = set(z.namelist())
         if suffix == ".docx" and "word/document.xml" in names:
             return _paragraphs(z), "docx_text", ""
         if suffix == ".pptx" and "ppt/presentation.xml" in names:
             return _slides(z), "pptx_text", ""
-        return _parts(z), "office_xml_text", ""
+        return _parts(z, caps), "office_xml_text", ""
 
 
 def _xlsx(z: zipfile.ZipFile) -> list[tuple[str, list[list[str]]]]:
@@ -169,7 +184,7 @@ def _table(rows: list[list[str]]) -> list[str]:
     return [line(rows[0]), "|:" + "|:".join("-" * (w + 1) for w in width) + "|", *map(line, rows[1:])]
 
 
-def _sheets(raw: bytes, suffix: str) -> tuple[str, str, str]:
+def _sheets(raw: bytes, suffix: str, caps: Caps) -> tuple[str, str, str]:
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         sheets = _ods(z) if suffix == ".ods" else _xlsx(z)
     out = []
@@ -177,28 +192,29 @@ def _sheets(raw: bytes, suffix: str) -> tuple[str, str, str]:
         head = rows[0] if rows else []
         body = [r + [""] * (len(head) - len(r)) for r in rows[1:]]
         out += [f"## Sheet: {name}", f"rows: {len(body)}, columns: {len(head)}", f"column names: {', '.join(head)}", ""]
-        out += _table([head, *body[:SHEET_ROWS]]) if head else []
-        out += [f"\n_(preview of first {SHEET_ROWS} rows only)_"] if len(body) > SHEET_ROWS else []
+        out += _table([head, *body[: caps.sheet_rows]]) if head else []
+        out += [f"\n_(preview of first {caps.sheet_rows} rows only)_"] if caps.sheet_rows is not None and len(body) > caps.sheet_rows else []
         out.append("")
     return "\n".join(out).strip(), "spreadsheet_tabular", ""
 
 
-def _pdf(raw: bytes, max_pages: int) -> tuple[str, str, str]:
+def _pdf(raw: bytes, caps: Caps) -> tuple[str, str, str]:
     try:
         from pypdf import PdfReader
     except ImportError as e:
         raise ValueError("PDF produced neither page images nor extractable text (no PDF reader is installed)") from e
     pages = PdfReader(io.BytesIO(raw)).pages
-    note = f"PDF has {len(pages)} pages; only the first {max_pages} were processed" if len(pages) > max_pages else ""
-    return "\n\n".join(t for p in list(pages)[:max_pages] if (t := (p.extract_text() or "").strip())), "pdf_text_layer", note
+    note = f"PDF has {len(pages)} pages; only the first {caps.pdf_pages} were processed" if caps.pdf_pages is not None and len(pages) > caps.pdf_pages else ""
+    return "\n\n".join(t for p in list(pages)[: caps.pdf_pages] if (t := (p.extract_text() or "").strip())), "pdf_text_layer", note
 
 
-def converted(files: DataFrame, max_pages: int = 15) -> DataFrame:
+def converted(files: DataFrame, caps: Caps = Caps()) -> DataFrame:
     """files (path, content, suffix) with kind, mime_type, text, extraction_method, warnings, error and char_count; the bodies are gone.
 
     A file that can't be read gives a row with an error, never a failed job.
     UTF-8 text is decoded natively; other encodings and containers go through
-    Arrow batches.  Images get the offline transcript.
+    Arrow batches.  Images get the offline transcript.  caps bounds what is kept of a
+    file, as a warning then says; NO_CAPS keeps whole files.
     """
     kind_type = "struct<text: string, method: string, warning: string, error: string>"
 
@@ -215,7 +231,7 @@ def converted(files: DataFrame, max_pages: int = 15) -> DataFrame:
                     text, row["warning"] = _text(raw)
                     row |= {"text": text, "method": "plain_text"}
                 else:
-                    row["text"], row["method"], row["warning"] = _pdf(raw, max_pages) if k == "pdf" else _sheets(raw, s) if k == "spreadsheet" else _office(raw, s)
+                    row["text"], row["method"], row["warning"] = _pdf(raw, caps) if k == "pdf" else _sheets(raw, s, caps) if k == "spreadsheet" else _office(raw, s, caps)
             except Exception as e:  # noqa: BLE001 - a bad file is a row, not a failure
                 row["error"] = f"{type(e).__name__}: {e}"
             out.append(row)
@@ -227,10 +243,10 @@ def converted(files: DataFrame, max_pages: int = 15) -> DataFrame:
     rows = rows.withColumns({"__native": native, "__python": python})
     rows = rows.withColumn("__open", F.when(F.col("__python"), opened(F.when(F.col("__python"), F.col("content")), "kind", "suffix")))
     raw = F.when(F.col("__native"), F.col("content").cast("string")).otherwise(F.col("__open.text"))
-    is_text, long = F.col("kind") == "text", F.length("__raw") > TEXT_CHARS
+    is_text, long = F.col("kind") == "text", F.lit(False) if caps.text_chars is None else F.length("__raw") > caps.text_chars
     rows = rows.withColumn("__raw", raw)
-    text = F.when(F.col("kind") == "image", F.lit("\n".join(TRANSCRIPT))).when(is_text & long, F.left("__raw", F.lit(TEXT_CHARS))).when(is_text, strip(F.col("__raw"))).otherwise(F.col("__raw"))
-    warned = F.array_compact(F.array(F.when(is_text & long, F.lit(f"text truncated to {TEXT_CHARS} characters")), F.when(F.col("__open.warning") != "", F.col("__open.warning"))))
+    text = F.when(F.col("kind") == "image", F.lit("\n".join(TRANSCRIPT))).when(is_text & long, F.left("__raw", F.lit(caps.text_chars))).when(is_text, strip(F.col("__raw"))).otherwise(F.col("__raw"))
+    warned = F.array_compact(F.array(F.when(is_text & long, F.lit(f"text truncated to {caps.text_chars} characters")), F.when(F.col("__open.warning") != "", F.col("__open.warning"))))
     rows = rows.withColumns({"text": text, "warnings": warned})
     blank = F.coalesce(strip(F.col("text")), F.lit("")) == ""
     error = F.coalesce(F.col("__open.error"), F.when(F.col("kind").isNull(), F.lit("unsupported file type")), F.when(blank, F.lit("the file contains no readable text (it is empty or blank)")))
@@ -244,7 +260,7 @@ def _mime(suffix: Column, kind: Column) -> Column:
     return F.when(kind == "pdf", F.lit("application/pdf")).when(kind == "text", F.coalesce(F.try_element_at(known, suffix), F.lit("text/plain"))).when(kind == "image", F.coalesce(F.try_element_at(known, suffix), F.lit("image/png"))).otherwise(F.coalesce(F.try_element_at(known, suffix), F.lit("")))
 
 
-def documents(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+def documents(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, caps: Caps = Caps()) -> DataFrame:
     """The documents of a folder; doc_id is a hash of the path, so a second run gives the same ids."""
     files, _ = read_files(spark, path, max_bytes)
-    return converted(files).withColumn("doc_id", F.sha2("path", 256))
+    return converted(files, caps).withColumn("doc_id", F.sha2("path", 256))

@@ -2,13 +2,14 @@ import json
 import re
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from palimpsest.functions import findings as G
 from palimpsest.functions import masking as M
 from palimpsest.functions.names import names
 from palimpsest.functions.scan import scan
-from palimpsest.operators.audit import collisions, counts_by_kind, report, rollup
+from palimpsest.operators.audit import collisions, counts_by_kind, gauges, observed, report, rollup
 from palimpsest.plans.backends import detector, hinted, model_masked, reviewer
 from palimpsest.plans.sanitise import Settings, audited, found, sanitised, trace
 from palimpsest.sources.prompts import parse
@@ -154,3 +155,11 @@ def test_plans_of_many_rounds_stay_small(spark):
     rows = sanitised(docs, Settings(salt="s", max_rounds=3), reviewer=strict)
     for out, want in ((counts_by_kind(rows), 1), (collisions(rows), 0), (trace(rows, "doc_id"), 7)):
         assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 500_000 and out.count() == want
+
+
+def test_observed_counts(spark):
+    seen = Observation("job")
+    rows = sanitised(spark.createDataFrame([(1, "mail a@b.it"), (2, "")], "doc_id int, text string"), Settings(salt="s"))
+    observed(rows, seen).collect()
+    assert seen.get == {"documents": 2, "errors": 1, "values_masked": 1}
+    assert gauges(rows.where("false")).first().asDict() == {"jobs": 0, "pending": 0, "processing": 0, "done": 0, "error": 0}

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from palimpsest.functions.recovery import critique_of, findings_of, json_of
 from palimpsest.operators import vault as V
 from palimpsest.sources import prompts
-from palimpsest.sources.files import converted, documents, read_files
+from palimpsest.plans.describe import described, described_prompts
+from palimpsest.plans.sanitise import Settings
+from palimpsest.sources.files import NO_CAPS, Caps, converted, documents, read_files
 from palimpsest.sources.ingest import NOT_SET, NOTHING, ingested
+from palimpsest.sources.vision import read_by, with_pages
 from palimpsest.streaming import streams
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -56,6 +59,49 @@ def test_size_cap(spark, folder):
     assert "too large" in {r.reason for r in rejects.collect()} and files.where("length > 100").count() == 0
 
 
+def test_caps_can_be_lifted(spark, folder, tmp_path):
+    rows = "".join(f'<table:table-row><table:table-cell><text:p>{k}</text:p></table:table-cell></table:table-row>' for k in range(302))
+    with zipfile.ZipFile(tmp_path / "s.ods", "w") as z:
+        z.writestr("content.xml", f'<x xmlns:table="urn:oasis:names:tc:opendocument:xmlns:table:1.0" xmlns:text="urn:oasis:names:tc:opendocument:xmlns:text:1.0"><table:table table:name="T">{rows}</table:table></x>')
+    with zipfile.ZipFile(tmp_path / "many.odt", "w") as z:
+        for k in range(50):
+            z.writestr(f"p{k:02}.xml", f"<a>part{k}</a>")
+    (tmp_path / "long.log").write_text("x" * 400_005)
+    read = lambda caps: {r.filename: r for r in converted(read_files(spark, str(tmp_path))[0], caps).collect()}
+    usual, whole, tiny = read(Caps()), read(NO_CAPS), read(Caps(text_chars=7, office_parts=1, sheet_rows=1))
+    assert "first 200 rows" in usual["s.ods"].text and "| 301" not in usual["s.ods"].text and "part49" not in usual["many.odt"].text
+    assert "preview" not in whole["s.ods"].text and "| 301" in whole["s.ods"].text and "part49" in whole["many.odt"].text
+    assert whole["long.log"].char_count == 400_005 and whole["long.log"].warnings == []
+    assert tiny["long.log"].text == "x" * 7 and tiny["many.odt"].text == "part0" and "first 1 rows" in tiny["s.ods"].text
+
+
+def test_pages_and_their_reader(spark):
+    def model(pages):
+        return [image.decode() for _, image in pages][: 1 if pages[0][1] == b"short" else None]
+
+    def render(raw, kind):
+        if kind == "bad":
+            raise OSError("no")
+        return [raw] * 20
+
+    rows = spark.createDataFrame([(1, bytearray(b" a "), "image"), (2, bytearray(b"b"), "text"), (3, None, "image"), (4, bytearray(b"short"), None)], "id int, content binary, kind string")
+    plain = {r.id: r for r in read_by(with_pages(rows), model).collect()}
+    assert plain[1].seen == ["a"] and plain[1].page_images == 1 and [plain[k].seen for k in (2, 3, 4)] == [[], [], []]
+    all_pages = {r.id: r for r in read_by(with_pages(rows.withColumn("kind", F.when(F.col("id") == 2, "bad").otherwise("pdf")), render), model, retries=0).collect()}
+    assert all_pages[1].seen == ["a"] * 15 and all_pages[2].page_images == 0
+    assert all_pages[4].seen is None and all_pages[4].why == "1 answers for 15 pages"
+    assert with_pages(rows, render, NO_CAPS).first().page_images == 20
+    assert read_by(with_pages(rows.where("false")), model).collect() == []
+
+
+def test_description(tmp_path):
+    (tmp_path / "a.md").write_text("---\nversion: 3\n---\n## System\n" + "s" * 300)
+    assert described_prompts(str(tmp_path)) == {"a": {"version": "3", "system_preview": "s" * 240}}
+    prompts.reload()
+    told = described(Settings(salt="hush", max_rounds=9))
+    assert "hush" not in str(told) and told["stages"][2]["max_rounds"] == 6
+
+
 def test_tokens(spark):
     key, other = V.generate_key(), V.generate_key()
     df = V.encrypted(spark.createDataFrame([(1, "é"), (2, None), (3, "")], "i int, t string"), "t", key)
