@@ -41,7 +41,11 @@ def counts(events: DataFrame, time: str = "ts", by: str = "event_type", window:
 
 
 def jobs(updates: DataFrame, id: str = "job_id", minutes: int = 60) -> DataFrame:
-    """The state of each job, updated as trace rows (job_id, stage, status) come in, and forgotten after minutes without one."""
+    """The state of each job, updated as trace rows (job_id, stage, status) come in, and forgotten after minutes without one.
+
+    Waiting jobs make Spark try empty batches: a run that shall end with its input
+    (availableNow) needs spark.sql.streaming.noDataMicroBatches.enabled set to false.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:

@@ -177,7 +177,7 @@ def test_prompt_files(tmp_path):
     prompts.reload()
 
 
-def test_streams(spark, tmp_path):
+def test_streams(spark, tmp_path, request):
     src = str(tmp_path / "in")
     rows = [(i, "a@b.example" if i % 2 else f"t{i}", dt.datetime(2024, 1, 1, i)) for i in range(6)]
     spark.createDataFrame(rows, "doc_id int, text string, ts timestamp").coalesce(1).write.parquet(src)
@@ -185,7 +185,7 @@ def test_streams(spark, tmp_path):
 
     def run(df, name, mode="append"):
         q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-        q.awaitTermination(120)
+        assert q.awaitTermination(120)
         return spark.table(name).collect()
 
     from palimpsest.plans.sanitise import Settings
@@ -196,5 +196,7 @@ def test_streams(spark, tmp_path):
     assert sum(r.n for r in run(streams.counts(docs, by="text"), "counts", "complete")) == 6
     steps = spark.createDataFrame([("j", "detect", "running"), ("j", "mask", "done"), ("k", "error", "failed")], "job_id string, stage string, status string")
     steps.coalesce(1).write.parquet(str(tmp_path / "steps"))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled"))
     state = run(streams.jobs(streams.documents(spark, str(tmp_path / "steps"), steps.schema)), "jobs", "update")
     assert {(r.job_id, r.steps, r.status) for r in state} == {("j", 2, "done"), ("k", 1, "error")}
