@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +19,28 @@ def nothing(kind: str) -> Column:
     return F.from_json(F.lit("[]"), kind)
 
 
+def folded(items: Column, start: Column, step: Callable[[Column, Column], Column], kind: str, chunk: int = 256) -> Column:
+    """(state, out) after step(acc, item) for each item, where acc is of state and out, an array of the given type that step appends to.
+
+    An array that grows is copied at each step, so items are taken in chunks, whose
+    arrays are joined at the end: work grows with the items, not with their square.
+    """
+    once = F.array(F.struct(items.alias("items")))  # worked out once: a lambda would do it again at each chunk
+
+    def chunks(o: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(o["items"]) / chunk).cast("int")), lambda k: F.slice(o["items"], k * chunk + 1, chunk))
+
+    def of_chunk(acc: Column, part: Column) -> Column:
+        done = lambda r: F.struct(r["state"].alias("state"), F.concat(acc["outs"], F.array(r["out"])).alias("outs"))
+        return F.aggregate(part, F.struct(acc["state"].alias("state"), nothing(kind).alias("out")), step, done)
+
+    def whole(o: Column) -> Column:
+        empty = F.struct(start.alias("state"), nothing(f"array<{kind}>").alias("outs"))
+        return F.aggregate(chunks(o), empty, of_chunk, lambda a: F.struct(a["state"].alias("state"), F.flatten(a["outs"]).alias("out")))
+
+    return F.get(F.transform(once, whole), F.lit(0))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<value, start, end>> of all matches, ends exclusive, in characters.
 
@@ -31,11 +53,11 @@ def matches(text: Column, pattern: str) -> Column:
     kind = "array<struct<value: string, start: int, end: int>>"
 
     def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + p["gap"]
+        start = acc["state"] + p["gap"]
         end = start + F.length(p["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(p["value"].alias("value"), start.alias("start"), end.alias("end")))).alias("out"))
+        return F.struct(end.alias("state"), F.concat(acc["out"], F.array(F.struct(p["value"].alias("value"), start.alias("start"), end.alias("end")))).alias("out"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), nothing(kind).alias("out")), step, lambda a: a["out"])
+    return folded(pairs, F.lit(0), step, kind)["out"]
 
 
 def phone_ok(v: Column) -> Column:
@@ -72,11 +94,11 @@ def resolve_overlaps(spans: Column) -> Column:
     """Of spans in the order of precedence, those that overlap none kept before: by start, then the longer, the surer, the earlier scanner."""
 
     def step(acc: Column, x: Column) -> Column:
-        free = x["start"] >= acc["end"]
+        free = x["start"] >= acc["state"]
         one = F.struct(x["kind"].alias("kind"), x["value"].alias("value"), x["start"].alias("start"), x["end"].alias("end"), x["confidence"].alias("confidence"), x["reason"].alias("reason"))
-        return F.when(free, F.struct(x["end"].alias("end"), F.concat(acc["out"], F.array(one)).alias("out"))).otherwise(acc)
+        return F.when(free, F.struct(x["end"].alias("state"), F.concat(acc["out"], F.array(one)).alias("out"))).otherwise(acc)
 
-    return F.aggregate(F.array_sort(spans), F.struct(F.lit(0).alias("end"), nothing(SPAN).alias("out")), step, lambda a: a["out"])
+    return folded(F.array_sort(spans), F.lit(0), step, SPAN)["out"]
 
 
 def scan(text: Column, scanners: Iterable[Scanner] = SCANNERS) -> Column:

@@ -85,3 +85,10 @@ def test_extra_scanners_are_off_by_default(spark):
     assert spans(spark, "lives in 20100") == [[]]
     (row,) = df.select(candidates(F.col("t"), P.EXTRA).alias("c")).collect()
     assert {c.kind for c in row.c} == {"PASSPORT", "ADDRESS"}
+
+
+def test_matches_over_several_chunks(spark):
+    for n in (255, 256, 257, 513):
+        text = " ".join(f"u{k}@x.it" for k in range(n))
+        got = spark.createDataFrame([(text,)], "t string").select(scan(F.col("t")).alias("s")).first().s
+        assert [(s.value, s.start, s.end) for s in got] == [(m[0], m.start(), m.end()) for m in re.finditer(r"\S+", text)]
